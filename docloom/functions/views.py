@@ -1,0 +1,35 @@
+"""Derived inputs: the same marker views in Spark SQL and in DuckDB SQL.
+
+The raw test texts hold no numbered paragraphs, page marks or sections, so the
+structure queries run on deterministic views of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from docloom.session import table
+
+DOC_LINES_DUCK = """
+select doc_id, cast(generate_subscripts(p, 1) - 1 as bigint) as line_no, unnest(p) as line
+from (select doc_id, string_split(text, chr(10)) as p from documents)
+"""
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per text line: doc_id, line_no (from 0), line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).select(
+        "doc_id", F.col("n").cast("bigint").alias("line_no"), "line"
+    )
+
+
+MARKED = """
+select doc_id, line_no, line_no + 1 as n,
+       case when doc_id % 3 = 0 then 'bracket' when doc_id % 3 = 1 then 'dot' else 'bare' end as style,
+       case when (doc_id * 7 + line_no) % 11 = 0 then line
+            when doc_id % 3 = 0 then concat('[', line_no + 1, '] ', line)
+            when doc_id % 3 = 1 then concat(line_no + 1, '. ', line)
+            else concat(line_no + 1, ' ', line) end as line
+from doc_lines
+"""

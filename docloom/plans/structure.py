@@ -1,0 +1,42 @@
+"""Structure queries over marker views of the documents table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docloom.functions import views
+from docloom.plans.registry import query
+
+
+def _sql(spark, sf_dir, text, **frames):
+    return spark.sql(text, **{k: v for k, v in frames.items()})
+
+
+BLOCK_RANGES = """
+select doc_id, count(*) as n_blocks, min(n) as first_n, max(n) as last_n,
+       max(n) - min(n) + 1 - count(distinct n) as n_missing
+from (select doc_id, cast(regexp_extract(line, '^\\[?([0-9]+)[\\].]? ', 1) as bigint) as n
+      from (%s) v
+      where (doc_id * 7 + line_no) %% 11 <> 0) m
+group by doc_id
+"""
+
+
+@query(
+    "block_ranges",
+    (BLOCK_RANGES % views.MARKED.replace("doc_lines", f"({views.DOC_LINES_DUCK}) dl")),
+)
+def block_ranges(spark, sf_dir):
+    """First, last and number of missing paragraph numbers of each document."""
+    lines = views.doc_lines(spark, sf_dir)
+    marked = spark.sql(views.MARKED.replace("doc_lines", "{doc_lines}"), doc_lines=lines)
+    found = marked.select(
+        "doc_id", F.regexp_extract("line", r"^(?:\[([0-9]+)\] |([0-9]+)\.? )", 0).alias("mark")
+    ).where("mark <> ''")
+    found = found.select("doc_id", F.regexp_replace("mark", "[^0-9]", "").cast("bigint").alias("n"))
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("n_blocks"),
+        F.min("n").alias("first_n"),
+        F.max("n").alias("last_n"),
+        (F.max("n") - F.min("n") + 1 - F.countDistinct("n")).alias("n_missing"),
+    )
