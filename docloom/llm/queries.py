@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import mixing, quality, secrets, telephony
+from docloom.llm import bpe, mixing, quality, secrets, telephony, warc
 from docloom.llm.store import new_dir
 
 QUERIES = {}
@@ -63,3 +63,25 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the line-first verdict of every document."""
     return quality.measure(documents(spark, sf_dir), cleaned=False)
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and decoded again from its ids."""
+    import public_tokenizers
+
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *how, keep=("doc_id",))
+    return bpe.decode(docs, *how).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back in byte ranges."""
+    files = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
