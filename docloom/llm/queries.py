@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, mixing, quality, secrets, telephony, warc
+from docloom.llm import bpe, jaccard, mixing, quality, secrets, telephony, warc
 from docloom.llm.store import new_dir
 
 QUERIES = {}
@@ -85,3 +85,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back in byte ranges."""
     files = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets have similarity 0.8 or more."""
+    return jaccard.classes(documents(spark, sf_dir))
