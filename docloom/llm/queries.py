@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, jaccard, mixing, quality, secrets, telephony, warc
-from docloom.llm.store import new_dir
+from docloom.llm import bpe, jaccard, mixing, pii, quality, secrets, telephony, warc
+from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have similarity 0.8 or more."""
     return jaccard.classes(documents(spark, sf_dir))
+
+
+@query
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model spans of personal data in every document."""
+    scanned = staged(pii.scan(documents(spark, sf_dir)), "pii")
+    rows = pii.decode(scanned, pii.fit(scanned))
+    names = F.array(*map(F.lit, pii.KINDS))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda n, kind: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("bigint").alias(f"n_{kind}")
+    return rows.select("doc_id", *(count(n, k) for n, k in enumerate(pii.KINDS)), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
