@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, jaccard, mixing, pii, quality, secrets, telephony, warc
+from docloom.llm import bpe, jaccard, mixing, pii, quality, secrets, sentences, telephony, warc
 from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
@@ -102,3 +102,10 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda n, kind: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("bigint").alias(f"n_{kind}")
     return rows.select("doc_id", *(count(n, k) for n, k in enumerate(pii.KINDS)), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of repeated spans, the first occurrence kept."""
+    done = sentences.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "removed")

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -63,3 +63,23 @@ def _clean() -> None:
             delete(spark, path)
         except Exception:  # the session has ended
             return
+
+
+#: A side of a join is broadcast up to this many rows and estimated bytes; beyond, the join is shuffled.
+SMALL_ROWS, SMALL_BYTES = 500_000, 48 << 20
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder, through Hadoop's file system interface."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(where).getLength()
+
+
+def join_small(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
+    """left joined with a staged table, which is broadcast only if its rows and bytes are below the bound."""
+    files = right.inputFiles()
+    few = right.count() <= SMALL_ROWS
+    if few and files:
+        few = size_of(left.sparkSession, files[0].rpartition("/")[0]) <= SMALL_BYTES
+    return left.join(F.broadcast(right) if few else right, on, how)
