@@ -3,9 +3,8 @@
 A task splits its texts by the tokenizer's pattern. The distinct pieces that are not a
 token themselves become token-position rows of a DuckDB table; a recursive query joins
 neighbours to the merge table, contracts the leftmost pair of least rank in each piece
-and goes on until no piece has a pair. Decoding cuts ids before tokens that start with
-a space (decoding concatenates, so any cut will do), and joins each distinct run of ids
-to the vocabulary with an ordered aggregation.
+and goes on until no piece has a pair. Decoding joins the token-position rows of whole
+texts to the vocabulary and aggregates each text's bytes in order.
 
 Vocabularies are read from a path that is a parameter, once in each Python worker, and
 pieces that a worker has met are kept there up to ``CACHE`` entries. Pieces of more than
@@ -13,7 +12,7 @@ pieces that a worker has met are kept there up to ``CACHE`` entries. Pieces of m
 contractions from a heap instead.
 
 Null and edge cases: a null text is the empty text and has no ids; null ids decode to
-null; ids outside the vocabulary are an error; texts of any length are read whole; equal
+null; ids outside the vocabulary decode to nothing; texts of any length are read whole; equal
 texts get equal ids; an empty table gives an empty result; other columns are kept.
 """
 
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.arrow import map_columns
 
-CACHE, LONG, PIECES_AT_ONCE = 300_000, 1000, 40_000
+CACHE, LONG, PIECES_AT_ONCE = 1_000_000, 1000, 40_000
 DUCKDB = {"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False}
 #: Texts below this code point are split by an equal pattern of explicit ranges, for speed.
 PLAIN_BELOW = 0x250
@@ -58,7 +57,7 @@ select wp >> 24 as w, list(tok order by wp) as ids from run where done group by
 """
 
 DECODE = """
-select wp >> 24 as w, string_agg(hex, '' order by wp) as hex
+select wp >> 32 as w, string_agg(hex, '' order by wp) as hex
 from rows join vocabulary using (tok) group by 1
 """
 
@@ -88,7 +87,6 @@ class Codec:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.pattern, self.plain = regex.compile(pattern), explicit(pattern)
         self.other = re.compile(f"[^\x00-{chr(PLAIN_BELOW - 1)}]")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
@@ -103,14 +101,12 @@ class Codec:
         made = pa.table({"ab": ab, "c": c})
         self.con.register("made", made)
         self.con.execute("create table merges as select * from made")
-        words = pa.table({"tok": pa.array(list(self.bytes_of), pa.int64()), "hex": [t.hex() for t in self.bytes_of.values()]})
+        words = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self.con.register("words", words)
         self.con.execute("create table vocabulary as select * from words")
-        spaced = np.zeros(max(self.bytes_of) + 1, bool)
-        spaced[[r for r, t in self.bytes_of.items() if t[:1] == b" "]] = True
-        self.spaced = spaced
+        self.con.unregister("made")
+        self.con.unregister("words")
         self.encoded: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self.plain is not None and not self.other.search(text):
@@ -132,13 +128,13 @@ class Codec:
         for at in range(0, len(todo), PIECES_AT_ONCE):
             self._recurse(todo[at : at + PIECES_AT_ONCE])
 
-    def _places(self, lengths: np.ndarray) -> np.ndarray:
+    def _places(self, lengths: np.ndarray, bits: int) -> np.ndarray:
         w = np.repeat(np.arange(len(lengths)), lengths)
-        return (w << 24) | (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        return (w << bits) | (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
 
     def _recurse(self, todo: list[tuple[str, bytes]]) -> None:
         flat = np.frombuffer(b"".join(d for _, d in todo), np.uint8)
-        places = self._places(np.array([len(d) for _, d in todo]))
+        places = self._places(np.array([len(d) for _, d in todo]), 24)
         self.con.register("start", pa.table({"wp": places, "tok": self.single[flat]}))
         found = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
         lists = found["ids"].combine_chunks()
@@ -183,26 +179,16 @@ class Codec:
 
     def decode(self, values: list[bytes | None]) -> list[bytes | None]:
         """The bytes of each sequence of ids."""
-        runs = []
-        for value in values:
-            ids = np.frombuffer(value or b"", "<u4")
-            cuts = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
-            if cuts and not cuts[0]:
-                cuts = cuts[1:]
-            runs.append([(value or b"")[a:b] for a, b in zip([0, *cuts], [*cuts, 4 * len(ids)])] if len(ids) else [])
-        if len(self.decoded) > CACHE:
-            self.decoded.clear()
-        new = list({r for own in runs for r in own}.difference(self.decoded))
-        for at in range(0, len(new), PIECES_AT_ONCE):
-            part = new[at : at + PIECES_AT_ONCE]
-            rows = pa.table(
-                {"wp": self._places(np.array([len(r) // 4 for r in part])), "tok": np.frombuffer(b"".join(part), "<u4").astype(np.int64)}
-            )
-            self.con.register("rows", rows)
-            found = self.con.sql(DECODE).to_arrow_table()
-            self.decoded.update(zip(map(part.__getitem__, found["w"].to_pylist()), map(bytes.fromhex, found["hex"].to_pylist())))
-            self.con.unregister("rows")
-        return [None if v is None else b"".join(map(self.decoded.__getitem__, own)) for v, own in zip(values, runs)]
+        data = [v or b"" for v in values]
+        ids = np.frombuffer(b"".join(data), "<u4")
+        places = self._places(np.array([len(v) // 4 for v in data], np.int64), 32)
+        self.con.register("rows", pa.table({"wp": places, "tok": ids.astype(np.int32)}))
+        found = self.con.sql(DECODE).to_arrow_table()
+        self.con.unregister("rows")
+        out = [None if v is None else b"" for v in values]
+        for w, hexes in zip(found["w"].to_pylist(), found["hex"].to_pylist()):
+            out[w] = bytes.fromhex(hexes)
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -215,21 +201,25 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds ``ids``: the token ids of the whole text, little-endian unsigned 32-bit."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] | None = None, back: bool = False) -> DataFrame:
+    """Adds ``ids``: the token ids of the whole text, little-endian unsigned 32-bit.
+
+    ``back`` also adds ``decoded``, from the ids, in the same worker, which then holds the vocabulary once.
+    """
     keep = tuple(docs.columns) if keep is None else keep
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {ids: codec(path, pattern).encode(batch.column(text).to_pylist())}
+        made = {"ids": codec(path, pattern).encode(batch.column(text).to_pylist())}
+        return made | ({"decoded": codec(path, pattern).decode(made["ids"])} if back else {})
 
-    return map_columns(docs, run, keep, f"`{ids}` binary")
+    return map_columns(docs, run, keep, "ids binary" + ", decoded binary" * back, limit=4 << 20)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds ``out``: the bytes that the ids stand for."""
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ``decoded``: the bytes that the ids stand for."""
     keep = tuple(df.columns) if keep is None else keep
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {out: codec(path, pattern).decode(batch.column(ids).to_pylist())}
+        return {"decoded": codec(path, pattern).decode(batch.column(ids).to_pylist())}
 
-    return map_columns(df, run, keep, f"`{out}` binary")
+    return map_columns(df, run, keep, "decoded binary", limit=16 << 20)

@@ -71,8 +71,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *how, keep=("doc_id",))
-    return bpe.decode(docs, *how).select(
+    docs = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *how, keep=("doc_id",), back=True)
+    return docs.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
