@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, jaccard, mixing, pii, quality, secrets, sentences, telephony, warc
+from docloom.llm import bpe, jaccard, mixing, pii, quality, secrets, sentences, suffixes, telephony, warc
 from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
@@ -109,3 +109,13 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans, the first occurrence kept."""
     done = sentences.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "removed")
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that start anywhere else."""
+    done = suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["b"] - s["a"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
