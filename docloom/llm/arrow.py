@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Batches are cut to about so many bytes, so that long texts don't add up.
@@ -21,12 +21,22 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session's Python tasks small; only a smaller setting stays as it is."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", "0"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def map_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict], keep: tuple[str, ...], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """df's columns ``keep`` and the new columns that ``run`` gives for each batch, of the same length."""
     new = T.StructType.fromDDL(schema)
     out = T.StructType([df.schema[c] for c in keep] + new.fields)
     arrow = to_arrow_schema(new)
 
+    bound_batches(df.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, limit):

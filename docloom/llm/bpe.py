@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.arrow import map_columns
 
-CACHE, LONG, PIECES_AT_ONCE = 1_000_000, 1000, 40_000
-DUCKDB = {"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False}
+CACHE, LONG = 400_000, 1000
+#: Rows of DuckDB's tables are bounded: pieces of one recursive query, ids of one decoding query (or one text's).
+PIECES_AT_ONCE, IDS_AT_ONCE = 20_000, 250_000
+DUCKDB = {"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False}
 #: Texts below this code point are split by an equal pattern of explicit ranges, for speed.
 PLAIN_BELOW = 0x250
 
@@ -179,15 +181,22 @@ class Codec:
 
     def decode(self, values: list[bytes | None]) -> list[bytes | None]:
         """The bytes of each sequence of ids."""
-        data = [v or b"" for v in values]
-        ids = np.frombuffer(b"".join(data), "<u4")
-        places = self._places(np.array([len(v) // 4 for v in data], np.int64), 32)
-        self.con.register("rows", pa.table({"wp": places, "tok": ids.astype(np.int32)}))
-        found = self.con.sql(DECODE).to_arrow_table()
-        self.con.unregister("rows")
         out = [None if v is None else b"" for v in values]
-        for w, hexes in zip(found["w"].to_pylist(), found["hex"].to_pylist()):
-            out[w] = bytes.fromhex(hexes)
+        held: list[int] = []
+        size = 0
+        for n, value in enumerate(values):
+            if value:
+                held.append(n)
+                size += len(value) // 4
+            if held and (size >= IDS_AT_ONCE or n == len(values) - 1):
+                data = [values[k] for k in held]
+                ids = np.frombuffer(b"".join(data), "<u4").astype(np.int32)
+                self.con.register("rows", pa.table({"wp": self._places(np.array([len(v) // 4 for v in data], np.int64), 32), "tok": ids}))
+                found = self.con.sql(DECODE).to_arrow_table()
+                self.con.unregister("rows")
+                for w, hexes in zip(found["w"].to_pylist(), found["hex"].to_pylist()):
+                    out[held[w]] = bytes.fromhex(hexes)
+                held, size = [], 0
         return out
 
 
