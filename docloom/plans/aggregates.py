@@ -136,7 +136,7 @@ from (select doc_id, page_number, source_index, y0, (x1 - x0) * (y1 - y0) * (sou
 sql("agg_ordered_sections", "select doc_id, key_text, cast(row_number() over (partition by doc_id order by case when @like(key_text, '^[0-9]+$') then 0 else 1 end, @int(key_text), line_no) as bigint) as place from (select doc_id, line_no, case when line_no % 3 = 0 then concat('s', line_no) else cast(97 - line_no as varchar(9)) end as key_text from doc_lines where line_no < 60) k")
 
 # Measures of recognition quality.
-sql("evl_edit_distance", "select doc_id, line_no, cast(@edit(@left(line, 40), @left(after, 40)) as bigint) as distance, length(@left(line, 40)) as n_gold from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null")
+sql("evl_edit_distance", "select doc_id, line_no, cast(@edit(@left(line, 40), @left(after, 40)) as bigint) as distance, cast(length(@left(line, 40)) as bigint) as n_gold from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null")
 sql("evl_summary", "select doc_id, cast(sum(d) as bigint) as errors, cast(sum(n) as bigint) as gold, @even(sum(d) / cast(sum(n) as double), 6) as cer from (select doc_id, @edit(@left(line, 30), @left(after, 30)) as d, length(@left(line, 30)) as n from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null) e group by doc_id having sum(n) > 0")
 sql("evl_order_agreement", "select a.doc_id, count(*) as pairs, count(*) filter (where (a.other < b.other)) as concordant from (select doc_id, line_no, line_no * 7 % 11 as other from doc_lines where line_no < 30) a join (select doc_id, line_no, line_no * 7 % 11 as other from doc_lines where line_no < 30) b on a.doc_id = b.doc_id and a.line_no < b.line_no group by a.doc_id")
-sql("evl_nearest_rank", "select doc_id, max(n) as p90 from (select doc_id, length(line) as n, row_number() over (partition by doc_id order by length(line)) - 1 as place, count(*) over (partition by doc_id) as total from doc_lines) r where place <= @even((total - 1) * 0.9e0, 0) group by doc_id")
+sql("evl_nearest_rank", "select doc_id, cast(max(n) as bigint) as p90 from (select doc_id, length(line) as n, row_number() over (partition by doc_id order by length(line)) - 1 as place, count(*) over (partition by doc_id) as total from doc_lines) r where place <= @even((total - 1) * 0.9e0, 0) group by doc_id")

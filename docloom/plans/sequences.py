@@ -4,7 +4,7 @@ from docloom.plans.registry import sql
 
 # SEQ-02, SEQ-03
 sql("seq_paragraph_markers", "select doc_id, line_no, style, number from markers")
-sql("seq_contiguous_scopes", "select doc_id, scope, min(number) as first_n, max(number) as last_n, count(*) as n_markers from scopes group by doc_id, scope")
+sql("seq_contiguous_scopes", "select doc_id, cast(scope as bigint) as scope, min(number) as first_n, max(number) as last_n, count(*) as n_markers from scopes group by doc_id, scope")
 
 # SEQ-05: gaps of one number that one line of the document could fill.
 sql(
@@ -22,7 +22,7 @@ group by g.doc_id, g.before having count(*) = 1
 sql(
     "seq_detect_paragraphs",
     """
-select doc_id, scope, n_markers, words from (
+select doc_id, cast(scope as bigint) as scope, n_markers, cast(words as bigint) as words from (
   select doc_id, scope, n_markers, words, row_number() over (partition by doc_id order by n_markers desc, scope) as place from (
     select s.doc_id, s.scope, count(*) as n_markers, sum(@hits(m.line, '[^ ]+')) as words from scopes s join markers m on m.doc_id = s.doc_id and m.line_no = s.line_no group by s.doc_id, s.scope) a
   where n_markers >= 5) b where place = 1
@@ -56,10 +56,10 @@ select doc_id, line_no, case when @like(line, '^[0-9]+[.] ') then 'dotted' when
 sql(
     "seq_dotted_order",
     """
-with labels as (select doc_id, line_no, line_no % 3 + 1 as a, (line_no * 7) % 13 + 1 as b from doc_lines),
+with marks_of as (select doc_id, line_no, line_no % 3 + 1 as a, (line_no * 7) % 13 + 1 as b from doc_lines),
 turns as (select doc_id,
   case when a * 1000 + b < lag(a * 1000 + b) over (partition by doc_id order by line_no) then 1 else 0 end as by_component,
-  case when concat(a, '.', b) < lag(concat(a, '.', b)) over (partition by doc_id order by line_no) then 1 else 0 end as by_fraction from labels)
+  case when concat(a, '.', b) < lag(concat(a, '.', b)) over (partition by doc_id order by line_no) then 1 else 0 end as by_fraction from marks_of)
 select doc_id, cast(sum(by_component) as bigint) as component_turns, cast(sum(by_fraction) as bigint) as fraction_turns,
        case when sum(by_component) < sum(by_fraction) then 'component' when sum(by_component) > sum(by_fraction) then 'fraction' end as mode from turns group by doc_id
 """,
@@ -81,7 +81,7 @@ from x full outer join y on x.doc_id = y.doc_id and x.label = y.label
 sql(
     "seq_prose_blocks",
     """
-select doc_id, block, min(line_no) as first_line, max(line_no) as last_line, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars from (
+select doc_id, cast(block as bigint) as block, min(line_no) as first_line, max(line_no) as last_line, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars from (
   select doc_id, line_no, line, blank, sum(blank) over (partition by doc_id order by line_no) as block
   from (select doc_id, line_no, line, case when length(line) < 20 then 1 else 0 end as blank from doc_lines) b) c
 where blank = 0 group by doc_id, block
@@ -115,8 +115,8 @@ group by doc_id, printed - page_number, island having count(*) >= 4
 sql(
     "seq_text_flow",
     """
-select doc_id, source_index, region_type <> after_region and @like(text, '-$') as boundary_fault, after_text is null and @like(text, '-$') as dangling,
-       region_type = after_region and not @like(text, '[.!?]$') and @like(after_text, '^[a-z]') as continues
+select doc_id, source_index, coalesce(region_type <> after_region and @like(text, '-$'), false) as boundary_fault, after_text is null and @like(text, '-$') as dangling,
+       coalesce(region_type = after_region and not @like(text, '[.!?]$') and @like(after_text, '^[a-z]'), false) as continues
 from (select doc_id, source_index, region_type, case when source_index % 5 = 0 then concat(text, '-') else text end as text,
              lead(region_type) over (partition by doc_id order by source_index) as after_region, lead(text) over (partition by doc_id order by source_index) as after_text from layout) l
 """,
@@ -136,7 +136,7 @@ select s.doc_id, pair_id, since, until, substring(text, cast(since as int) + 1,
 sql(
     "seq_build_regions",
     """
-select doc_id, region_type, island, min(source_index) as first_line, max(source_index) as last_line, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from (
+select doc_id, region_type, cast(island as bigint) as island, min(source_index) as first_line, max(source_index) as last_line, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from (
   select doc_id, region_type, source_index, y0, y1, sum(fresh) over (partition by doc_id order by source_index) as island from (
     select doc_id, region_type, source_index, y0, y1, case when region_type = lag(region_type) over (partition by doc_id order by source_index)
       and block_index = lag(block_index) over (partition by doc_id order by source_index) then 0 else 1 end as fresh from layout) f) i
@@ -165,7 +165,7 @@ select doc_id, source_index, concat('p', lpad(cast(page_number as varchar(9)), 4
 sql(
     "seq_baseline_groups",
     """
-select doc_id, grp, min(source_index) as first_line, count(*) as n_items from (
+select doc_id, cast(grp as bigint) as grp, min(source_index) as first_line, count(*) as n_items from (
   select doc_id, source_index, sum(fresh) over (partition by doc_id order by source_index) as grp from (
     select doc_id, source_index, case when abs(y - lag(y) over (partition by doc_id order by source_index)) <= 0.8e0 * size then 0 else 1 end as fresh
     from (select doc_id, source_index, size, y0 - 54.0e0 * (source_index % 2) as y from layout) l) f) g group by doc_id, grp
