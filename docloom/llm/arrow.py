@@ -23,15 +23,19 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of this session's Python tasks small; only a smaller setting stays as it is."""
-    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
-        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", "0"))
-        if not 0 < now <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = str(spark.conf.get(key)).lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict], keep: tuple[str, ...], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """df's columns ``keep`` and the new columns that ``run`` gives for each batch, of the same length."""
+    """df's columns ``keep`` and the new columns that ``run`` gives for each batch, of the same length.
+
+    A new column takes the place of a kept one of its name.
+    """
     new = T.StructType.fromDDL(schema)
+    keep = tuple(c for c in keep if c not in new.names)
     out = T.StructType([df.schema[c] for c in keep] + new.fields)
     arrow = to_arrow_schema(new)
 

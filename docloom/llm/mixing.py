@@ -184,11 +184,11 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """
     rows = staged(sized(docs, seed), "mix-sized")
     plan = staged(cuts(rows, targets(rows, **how)), "mix-plan").select("goal_source", "whole", "cut", "extra")
-    plan = plan.toDF("_goal", "_whole", "_cut", "_extra")
-    copies = copies_of(draw(F.col("doc_id"), seed), F.col("_whole"), F.col("_cut"), F.col("_extra"))
+    plan = plan.toDF("_mix_goal", "_mix_whole", "_mix_cut", "_mix_extra")
+    copies = copies_of(draw(docs["doc_id"], seed), F.col("_mix_whole"), F.col("_mix_cut"), F.col("_mix_extra"))
     return (
-        docs.join(plan, F.col("source").eqNullSafe(F.col("_goal")))
+        docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_goal")))
         .where(copies >= 1)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 from docloom.llm.store import exists, new_dir
 
 
+FINDINGS = "blob_id string, rule_key string, start bigint, `end` bigint"
+SCANNED = "blob_id string, rule_key string"
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pattern; ``group`` must have ``least`` characters. Matches are leftmost and don't overlap."""
@@ -100,7 +104,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     unseen = named
     keys = [r.key for r in rules]
     if exists(spark, f"{ledger}/scanned"):
-        scanned = spark.read.parquet(f"{ledger}/scanned").where(F.col("rule_key").isin(keys))
+        scanned = spark.read.schema(SCANNED).parquet(f"{ledger}/scanned").where(F.col("rule_key").isin(keys))
         seen = scanned.groupBy("blob_id").agg(F.collect_set("rule_key").alias("seen"))
         unseen = named.dropDuplicates(["blob_id"]).join(seen, "blob_id", "left")
         unseen = unseen.where(F.col("seen").isNull() | (F.size("seen") < len(keys)))
@@ -116,24 +120,24 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     pairs.write.parquet(f"{step}/scanned")
     names = F.element_at(F.array(*map(F.lit, keys)), F.col("rule") + 1)
     found.select("blob_id", names.alias("rule_key"), "start", "end").write.mode("append").parquet(f"{ledger}/findings")
-    spark.read.parquet(f"{step}/scanned").write.mode("append").parquet(f"{ledger}/scanned")
+    spark.read.schema(SCANNED).parquet(f"{step}/scanned").write.mode("append").parquet(f"{ledger}/scanned")
     kinds = F.element_at(F.create_map(*[x for n, r in enumerate(rules) for x in (F.lit(r.key), F.lit(n))]), F.col("rule_key"))
-    every = spark.read.parquet(f"{ledger}/findings").where(F.col("rule_key").isin(keys)).distinct()
+    every = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").where(F.col("rule_key").isin(keys)).distinct()
     return every.select("blob_id", F.split_part("rule_key", F.lit("@"), F.lit(1)).alias("kind"), kinds.alias("rule"), "start", "end")
 
 
-def by_path(versions: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
-    """versions with ``spans``, a sorted array of (start, rule, kind, end); empty where nothing is found."""
-    each = findings.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "rule", "kind", "end"))).alias("_spans"))
-    each = each.withColumnRenamed("blob_id", "_blob")
-    joined = versions.withColumn("_id", blob_id(F.col(text))).join(each, F.col("_id") == F.col("_blob"), "left")
+def by_path(versions: DataFrame, findings: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """versions with ``spans`` (in place of a column of that name), a sorted array of (start, rule, kind, end); empty where nothing is found."""
+    each = findings.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "rule", "kind", "end"))).alias("spans"))
+    each = each.toDF("_hit_blob", "_hit_spans")
+    joined = versions.join(each, blob_id(versions[text]) == F.col("_hit_blob"), "left")
     none = F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint>>")
-    return joined.select(*[versions[c] for c in versions.columns], F.coalesce("_spans", none).alias("spans"))
+    return joined.select(*[versions[c] for c in versions.columns if c != spans], F.coalesce("_hit_spans", none).alias(spans))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by ``mark``; overlapping spans become one."""
-    hit = by_path(docs, findings)
+    hit = by_path(docs, findings, spans="_spans")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -142,6 +146,6 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Data
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.expr("substring(text, 1 + cast(_end as int))"))
-    clean = hit.withColumn("_end", F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"])), F.lit(0)))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, done)).otherwise(F.col("text"))
+    clean = hit.withColumn("_end", F.coalesce(F.array_max(F.transform("_spans", lambda s: s["end"])), F.lit(0)))
+    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, done)).otherwise(F.col("text"))
     return clean.withColumn("text", text).select(*docs.columns)

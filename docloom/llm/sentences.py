@@ -86,13 +86,13 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with cleaned text in ``kept``, and n_sentences, n_removed and the removed character ranges."""
-    hits = staged(removed(docs), "sentence-hits").withColumnRenamed("doc_id", "_doc")
-    joined = join_small(docs, hits, docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
+    hits = staged(removed(docs), "sentence-hits").toDF("_hit_doc", "_hit_spans")
+    joined = join_small(docs, hits, docs["doc_id"], "_hit_doc", "left").drop("_hit_doc")
     keep = tuple(docs.columns)
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {"n_sentences": [], "n_removed": [], "kept": [], "removed": []}
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        for text, own in zip(batch.column("text").to_pylist(), batch.column("_hit_spans").to_pylist()):
             found = sentences(text or "")
             gone = bytearray(len(found))
             for s in own or ():

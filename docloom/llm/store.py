@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -65,8 +65,9 @@ def _clean() -> None:
             return
 
 
-#: A side of a join is broadcast up to this many rows and estimated bytes; beyond, the join is shuffled.
-SMALL_ROWS, SMALL_BYTES = 500_000, 48 << 20
+#: A side of a join is broadcast up to this many rows and bytes of its files. Beyond the bytes, but
+#: not the rows, its keys alone are; beyond the rows, the join is shuffled.
+SMALL_ROWS, SMALL_BYTES = 500_000, 6 << 20
 
 
 def size_of(spark: SparkSession, path: str) -> int:
@@ -76,10 +77,19 @@ def size_of(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(where).getLength()
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """left joined with a staged table, which is broadcast only if its rows and bytes are below the bound."""
+def join_small(left: DataFrame, right: DataFrame, key: Column, right_key: str, how: str) -> DataFrame:
+    """left joined (inner or left) with a staged table on a key that is unique and not null there.
+
+    Rows of left are long texts. Where the keys are few, only rows that have a match are shuffled.
+    """
+    on = key == F.col(right_key)
+    if right.count() > SMALL_ROWS:
+        return left.join(right, on, how)
     files = right.inputFiles()
-    few = right.count() <= SMALL_ROWS
-    if few and files:
-        few = size_of(left.sparkSession, files[0].rpartition("/")[0]) <= SMALL_BYTES
-    return left.join(F.broadcast(right) if few else right, on, how)
+    if not files or size_of(left.sparkSession, files[0].rpartition("/")[0]) <= SMALL_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    keys = F.broadcast(right.select(F.col(right_key).alias("_few")))
+    hit = left.join(keys, key == F.col("_few"), "left_semi").join(right.hint("merge"), on, "inner")
+    if how == "inner":
+        return hit
+    return hit.unionByName(left.join(keys, key == F.col("_few"), "left_anti"), allowMissingColumns=True)

@@ -114,7 +114,7 @@ def all_windows(rows: DataFrame) -> DataFrame:
 
 def contents(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """(anchor, content, times, n, bytes) of chosen(row, take: array of windows)."""
-    joined = join_small(rows, chosen.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "inner")
+    joined = join_small(rows, chosen.withColumnRenamed("row", "_row"), rows["row"], "_row", "inner")
 
     def work(batches):
         for whole in batches:
@@ -167,8 +167,19 @@ def sorted_shards(found: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(work, "anchor bigint, content bigint, hits array<struct<a:bigint,b:bigint>>")
 
 
+def merged(spans: list[dict]) -> list[dict]:
+    """Ranges (a, b) in order, those that touch made one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["a"]):
+        if out and s["a"] <= out[-1]["b"]:
+            out[-1]["b"] = max(out[-1]["b"], s["b"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def repeated(rows: DataFrame) -> DataFrame:
-    """(row, spans: array of (a, b)) of the byte ranges that repeated strings cover, not yet merged."""
+    """(row, spans: array of (a, b)) of the byte ranges that repeated strings cover."""
     listed = staged(all_windows(rows), "windows").select("row", F.explode("windows").alias("w")).select("row", "w.*")
     again = (
         listed.groupBy("anchor")
@@ -193,27 +204,24 @@ def repeated(rows: DataFrame) -> DataFrame:
     part = part.select("row", (F.col("start") + F.col("h.a")).alias("a"), (F.col("start") + F.col("h.b")).alias("b"))
     whole = open_windows.where("not several").select("row", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
     every = part.unionByName(whole)
-    return every.groupBy("row").agg(F.collect_set(F.struct("a", (F.col("b") - 1 + LEAST).alias("b"))).alias("spans"))
+    every = every.groupBy("row").agg(F.collect_list(F.struct("a", (F.col("b") - 1 + LEAST).alias("b"))).alias("spans"))
+    run = lambda batch: {"spans": [merged(s) for s in batch.column("spans").to_pylist()]}
+    return map_columns(every, run, ("row",), "spans array<struct<a:bigint,b:bigint>>")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, the kept bytes (``kept``) and the removed byte ranges (``removed``)."""
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    hits = staged(repeated(rows), "repeated-ranges").withColumnRenamed("row", "_row")
-    joined = join_small(docs, hits, row_key(docs["doc_id"], docs["text"]) == F.col("_row"), "left").drop("_row")
+    hits = staged(repeated(rows), "repeated-ranges").toDF("_hit_row", "_hit_spans")
+    joined = join_small(docs, hits, row_key(docs["doc_id"], docs["text"]), "_hit_row", "left").drop("_hit_row")
     keep = tuple(docs.columns)
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {"n_bytes": [], "kept": [], "removed": []}
         texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        for text, spans in zip(texts, batch.column("spans").to_pylist()):
+        for text, spans in zip(texts, batch.column("_hit_spans").to_pylist()):
             text = text or b""
-            cuts: list[dict] = []
-            for s in sorted(spans or (), key=lambda s: s["a"]):
-                if cuts and s["a"] <= cuts[-1]["b"]:
-                    cuts[-1]["b"] = max(cuts[-1]["b"], s["b"])
-                else:
-                    cuts.append(dict(s))
+            cuts = spans or []
             left, at = [], 0
             for s in cuts:
                 left.append(text[at : s["a"]])
