@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, jaccard, mixing, pii, quality, secrets, sentences, suffixes, telephony, warc
+from docloom.llm import bpe, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, warc
 from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
 
 
 def query(f):
