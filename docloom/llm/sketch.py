@@ -23,7 +23,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         _powers[:] = []
         for base in (BASE, BASE_INVERSE):
-            steps = np.full(max(n, (2 << 20) + 1), base)
+            steps = np.full(max(n, (1 << 20) + 1), base)
             steps[0] = 1
             _powers.append(np.multiply.accumulate(steps))
     return _powers[0][:n], _powers[1][:n]
@@ -51,7 +51,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def counts(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], slots: int, slice_bytes: int = 2 << 20) -> np.ndarray:
+def counts(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], slots: int, slice_bytes: int = 1 << 20) -> np.ndarray:
     """How many of ``hashes`` (of the first column's slices) fall on each slot (hash modulo slots).
 
     Tasks count by themselves; parts of the counters are added up by other tasks. What

@@ -38,7 +38,7 @@ from docloom.llm.sketch import LETTERS, counts, mix, powers, running, utf8
 from docloom.llm.store import join_small, staged
 
 LEAST, GRAM = 200, 72
-SLOTS, SLICE, SHARD_BYTES = 1 << 20, 2 << 20, 6 << 20
+SLOTS, SLICE, SHARD_BYTES = 1 << 20, 1 << 20, 3 << 19
 #: A gram is frequent beyond so many times the mean count of the sketch's slots, and so many more.
 FREQUENT_TIMES, FREQUENT_LEAST = 4, 64
 PLACE_BITS = np.uint64(30)
@@ -198,7 +198,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     # Rows of equal key are equal; a window's bytes are taken from one of them, or twice, which counts once.
     found = staged(contents(rows, staged(chosen, "chosen-windows")).dropDuplicates(["anchor", "content"]), "window-bytes")
     total = found.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = max(6, total // SHARD_BYTES + 1)
+    shards = max(6, total // (4 * SHARD_BYTES) + 1)
     hits = staged(sorted_shards(found, int(shards)), "repeated-starts")
     part = several.join(hits, ["anchor", "content"]).select("row", "start", F.explode("hits").alias("h"))
     part = part.select("row", (F.col("start") + F.col("h.a")).alias("a"), (F.col("start") + F.col("h.b")).alias("b"))
