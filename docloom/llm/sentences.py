@@ -25,6 +25,10 @@ from docloom.llm.arrow import map_columns
 from docloom.llm.store import join_small, staged
 
 SPAN, LONG = 3, 50
+#: Hashes of more than this share of all spans (so at most 1,000 of them) are joined by broadcast, the others by a shuffle.
+HOT_SHARE = 1000
+#: Bytes of files up to which the removed spans are broadcast whole: their arrays take over ten times as much in memory.
+SMALL_HITS = 256 << 10
 GAP = re.compile(r"\n+|(?<=[.!?]) +")
 
 
@@ -73,21 +77,26 @@ def hashed(docs: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, spans: array of (place, n)) of documents with occurrences that are not the first."""
     every = staged(hashed(docs.where("doc_id is not null")), "sentence-spans")
+    hash_ = ["h1", "h2"]
     # Counts meet by hash after they were summed in each task; the first place comes along.
     twice = (
-        every.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
+        every.groupBy(*hash_)
+        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"), F.count("*").alias("times"))
         .where("first <> last")
-        .select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"))
+        .select(*hash_, F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"), "times")
     )
-    again = every.join(twice, ["h1", "h2"]).where("doc_id <> first_doc or place <> first_place")
+    twice = staged(twice, "repeated-spans")
+    often = F.col("times") * HOT_SHARE > every.count()
+    hot = F.broadcast(twice.where(often).drop("times"))
+    rest = every.join(hot.select(*hash_), hash_, "left_anti").join(twice.where(~often).drop("times"), hash_)
+    again = every.join(hot, hash_).unionByName(rest).where("doc_id <> first_doc or place <> first_place")
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with cleaned text in ``kept``, and n_sentences, n_removed and the removed character ranges."""
     hits = staged(removed(docs), "sentence-hits").toDF("_hit_doc", "_hit_spans")
-    joined = join_small(docs, hits, docs["doc_id"], "_hit_doc", "left").drop("_hit_doc")
+    joined = join_small(docs, hits, docs["doc_id"], "_hit_doc", "left", SMALL_HITS).drop("_hit_doc")
     keep = tuple(docs.columns)
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -77,7 +77,7 @@ def size_of(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(where).getLength()
 
 
-def join_small(left: DataFrame, right: DataFrame, key: Column, right_key: str, how: str) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, key: Column, right_key: str, how: str, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """left joined (inner or left) with a staged table on a key that is unique and not null there.
 
     Rows of left are long texts. Where the keys are few, only rows that have a match are shuffled.
@@ -86,7 +86,7 @@ def join_small(left: DataFrame, right: DataFrame, key: Column, right_key: str, h
     if right.count() > SMALL_ROWS:
         return left.join(right, on, how)
     files = right.inputFiles()
-    if not files or size_of(left.sparkSession, files[0].rpartition("/")[0]) <= SMALL_BYTES:
+    if not files or size_of(left.sparkSession, files[0].rpartition("/")[0]) <= small_bytes:
         return left.join(F.broadcast(right), on, how)
     keys = F.broadcast(right.select(F.col(right_key).alias("_few")))
     hit = left.join(keys, key == F.col("_few"), "left_semi").join(right.hint("merge"), on, "inner")

@@ -170,6 +170,22 @@ def test_op4_repeated_passages_go(spark, docs, here):
     assert "Lambda mu" not in row["kept"] and row["kept"].startswith("other words before.")
 
 
+@pytest.mark.parametrize("share", [0, 1000])
+def test_repeated_spans_by_shuffle_and_by_broadcast(spark, monkeypatch, share):
+    """share 0 takes no hash for a hot one; in so small a table 1000 takes every repeated one for hot."""
+    monkeypatch.setattr(sentences, "HOT_SHARE", share)
+    texts = [f"Own line {k % 7}. And more of {k % 3} here. " + "Common words stand here. They stay the same. And a third one. " * (k % 2 + 1) for k in range(40)]
+    found = [sentences.spans(sentences.sentences(t)) for t in texts]
+    first, want = {}, set()
+    for doc, spans in enumerate(found):
+        for place, n, *digest in spans:
+            if first.setdefault(tuple(digest), (doc, place)) != (doc, place):
+                want.add((doc, place, n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, s.place, s.n) for r in sentences.removed(docs).collect() for s in r.spans}
+    assert got == want and want
+
+
 def test_op5_water_filling(spark, here):
     rows = queries.op5_source_mixing(spark, here).collect()
     sizes = {k: len(words(t)) for k, t in enumerate(TEXTS)}
