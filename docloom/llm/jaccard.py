@@ -301,8 +301,9 @@ def pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
 def open_lists(members: DataFrame, named: DataFrame, done: list[DataFrame]) -> DataFrame:
     """(key, rep, n, component) of the lists in which pairs may be left to compare.
 
-    Lists of one component, or of two rows (which were neighbours), are closed; so are
-    those whose rows were all in one tile. Of equal lists one is enough.
+    Lists of one component are closed; so are those whose rows were all in one tile. Of
+    equal lists one is enough. A list may have lost rows before, so two rows that are left
+    of it need not have been neighbours, and stay open.
     """
     rows = labelled(members, "rep", named)
     whole = [F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("component").alias("lo"), F.max("component").alias("hi")]
@@ -311,7 +312,7 @@ def open_lists(members: DataFrame, named: DataFrame, done: list[DataFrame]) -> D
         rows = rows.join(picks.select("rep", F.col("tile").alias(f"tile{k}")), "rep", "left")
         whole += [F.min(f"tile{k}").alias(f"lo{k}"), F.max(f"tile{k}").alias(f"hi{k}"), F.count(f"tile{k}").alias(f"n{k}")]
         again.append(F.coalesce((F.col(f"n{k}") == F.col("size")) & (F.col(f"lo{k}") == F.col(f"hi{k}")), F.lit(False)))
-    keys = rows.groupBy("key").agg(*whole).where("size > 2 and lo <> hi")
+    keys = rows.groupBy("key").agg(*whole).where("lo <> hi")
     for closed in again:
         keys = keys.where(~closed)
     keys = keys.groupBy("size", "who").agg(F.min("key").alias("key")).select("key")
@@ -328,12 +329,15 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = rows.join(F.broadcast(named) if few else named, ["doc_id", *equal], "left_semi").withColumnRenamed("doc_id", "rep")
     order = Window.partitionBy("key").orderBy("n", "rep")
     listed = sets.select(F.explode("keys").alias("key"), "rep", F.col("n").cast("int").alias("n"))
-    listed = listed.select("key", "rep", "n", F.lag("rep").over(order).alias("before"), F.lag("n").over(order).alias("n_before"), F.lead("rep").over(order).alias("after"))
+    listed = listed.select("key", "rep", "n", F.lag("rep").over(order).alias("before"), F.lag("n").over(order).alias("n_before"), F.lead("rep").over(order).alias("after"), F.lag("rep", 2).over(order).alias("before_2"), F.lead("rep", 2).over(order).alias("after_2"))
+    longer = "before_2 is not null or after_2 is not null or (before is not null and after is not null)"
+    listed = listed.withColumn("longer", F.expr(longer)).drop("before_2", "after_2")
     listed = staged(listed.where("before is not null or after is not null"), "shared-keys")
     near = listed.where((F.col("n_before") * 100 >= F.col("n") * PERCENT) & (F.col("rep") != F.col("before")))
     pairs = staged(near.select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b")).distinct(), "near-pairs")
     links = verified(staged(bounded(pairs, sets), "pairs"), docs)
-    members = listed.select("key", "rep", F.col("n").cast("bigint").alias("n")).distinct()
+    # The two rows of a whole list were neighbours: nothing is left to compare in it.
+    members = listed.where("longer").select("key", "rep", F.col("n").cast("bigint").alias("n")).distinct()
     bits = sets.select("rep", "bits")
     joined_sets = staged(components(links), "components")
     rest = open_lists(members, joined_sets, [])

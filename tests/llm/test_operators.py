@@ -398,6 +398,21 @@ def test_near_copies_with_many_edits(spark):
     assert kept == sorted({c for _, c in got.values()})
 
 
+def test_a_row_between_two_similar_ones(spark):
+    """Lists [C, B, A] by size: A and C are similar and no neighbours, B is like neither and leaves the list."""
+    texts = {}
+    for f in range(3):
+        w, t = ([f"{c}{f}x{k}" for k in range(20)] for c in "wt")
+        texts[10 * f] = " ".join([*(f"u{f}x{k}" for k in range(4)), *w])
+        texts[10 * f + 1] = " ".join([*w[:8], *t[:14]])
+        texts[10 * f + 2] = " ".join(w)
+        for k in range(3, 7):  # makes all but the first four shingles of w frequent
+            texts[10 * f + k] = " ".join([*w[4:], *(f"v{f}x{k}x{n}" for n in range(150)), *w[4:8], *t])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()}
+    assert got == brute_components(texts) and got[2][1] == 0 and got[1][1] == 1
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(None, 5), (1000, 1000), (900, 950)], "a bigint, b bigint"))
     got = {r.node: r.component for r in components.components(links).collect()}
