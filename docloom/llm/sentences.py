@@ -1,8 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-Every sentence starts a span: itself and the sentences after it, up to ``SPAN`` of them
-or ``LONG`` words, whichever comes first. Spans are hashed (128 bits) and counted over
-all documents. Of a span that occurs more than once, the occurrence of smallest
+Every sentence starts a span of ``SPAN`` sentences, and each shorter one that has ``LONG``
+words or more, so that every run of either length is a span or made of spans. Spans are
+hashed (128 bits) and counted over all documents. Of a span that occurs more than once, the occurrence of smallest
 (doc_id, place) stays; sentences covered by any other occurrence are removed.
 
 Null and edge cases: a null text is the empty text and has no sentences; a text of fewer
@@ -51,15 +51,14 @@ def spans(found: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
     out = []
     sizes = [w.count(" ") + 1 for _, _, w in found]
     for i in range(len(found)):
-        n = words = 0
-        while i + n < len(found) and n < SPAN and words < LONG:
-            words += sizes[i + n]
-            n += 1
-        if (n < SPAN and words < LONG) and i:
-            break  # the end of the text; earlier spans cover it
-        data = "\n".join(w for _, _, w in found[i : i + n]).encode()
-        digest = xxhash.xxh3_128_intdigest(data)
-        out.append((i, n, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
+        words = 0
+        for n in range(1, min(SPAN, len(found) - i) + 1):
+            words += sizes[i + n - 1]
+            if n < SPAN and words < LONG and (i or n < len(found)):
+                continue
+            data = "\n".join(w for _, _, w in found[i : i + n]).encode()
+            digest = xxhash.xxh3_128_intdigest(data)
+            out.append((i, n, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
     return out
 
 

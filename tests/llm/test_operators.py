@@ -170,6 +170,26 @@ def test_op4_repeated_passages_go(spark, docs, here):
     assert "Lambda mu" not in row["kept"] and row["kept"].startswith("other words before.")
 
 
+def test_runs_of_few_long_sentences_go_whole(spark):
+    """Exact copies, and passages inside of other texts, whatever the words of their sentences."""
+    def passage(key, sizes):
+        return " ".join(" ".join(f"{key}{n}x{k}" for k in range(size)) + "." for n, size in enumerate(sizes))
+
+    shapes = [(30, 25, 20), (60, 10), (5, 60, 10), (10, 60, 5, 5), (20, 20, 20, 20, 4), (3, 3), (55, 2, 2, 2), (70,)]
+    rows = []
+    for k, sizes in enumerate(shapes):
+        same = passage(f"s{k}", sizes)
+        rows += [(10 * k, same), (10 * k + 1, same)]
+        if len(sizes) >= sentences.SPAN or sum(sizes) >= sentences.LONG:
+            rows.append((10 * k + 2, f"Own start {k}. And more own {k}. {same} Then the end of {k}."))
+    got = by_id(sentences.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for k, sizes in enumerate(shapes):
+        assert got[10 * k]["n_removed"] == 0
+        assert got[10 * k + 1]["kept"] == ""
+        if 10 * k + 2 in got:
+            assert got[10 * k + 2]["kept"] == f"Own start {k}. And more own {k}. Then the end of {k}.", sizes
+
+
 @pytest.mark.parametrize("share", [0, 1000])
 def test_repeated_spans_by_shuffle_and_by_broadcast(spark, monkeypatch, share):
     """share 0 takes no hash for a hot one; in so small a table 1000 takes every repeated one for hot."""
