@@ -8,8 +8,8 @@ before) score segments of up to ``MOST_TOKENS`` tokens, and dynamic programming
 boundaries and types jointly. Spans whose posterior reaches ``SURE`` and that don't
 overlap a base span are added.
 
-The model is fitted on ``SAMPLE`` islands at most, those of the smallest id hashes, with
-the base matches as labels; all islands of all texts are then decoded.
+The model is fitted on ``SAMPLE`` different islands at most, of up to ``LONGEST`` characters,
+those of smallest hash, with their counts and the base matches as labels; all islands of all texts are then decoded.
 
 Null and edge cases: a null text is the empty text; spans count code points, end
 exclusive; repeated rows and equal texts get equal spans; with no islands at all nothing
@@ -24,12 +24,12 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from docloom.llm.arrow import map_columns
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, MOST_TOKENS, SURE = 2000, 6, 0.95
+SAMPLE, LONGEST, MOST_TOKENS, SURE = 2000, 200, 6, 0.95
 EPOCHS, RATE, DECAY = 12, 0.3, 1e-4
 
 TRIGGER = re.compile(r"[0-9@]")
@@ -238,11 +238,11 @@ class Model:
         best = {s[:3] for s in self.best(island)}
         return sorted((s[4][0], s[2], s[4][1]) for s, p in self.posteriors(island) if s[:3] in best and p >= SURE) if best else []
 
-    def fit(self, rows: list[tuple[Island, list[tuple[int, int, int]]]]) -> "Model":
-        """Stochastic gradient ascent on the likelihood of the labelled spans; rows of one shape count together."""
+    def fit(self, rows: list[tuple[Island, list[tuple[int, int, int]], int]]) -> "Model":
+        """Stochastic gradient ascent on the likelihood of the labelled spans, with their counts; rows of one shape count together."""
         cases: dict[tuple, list] = {}
-        for island, gold in rows:
-            cases.setdefault((island.shape(), tuple(gold)), [island, gold, 0])[2] += 1
+        for island, gold, times in rows:
+            cases.setdefault((island.shape(), tuple(gold)), [island, gold, 0])[2] += times
         for epoch in range(EPOCHS):
             rate = RATE / (1 + epoch / 4)
             for island, gold, times in cases.values():
@@ -280,16 +280,19 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     return map_columns(docs.select(*keep, text), run, keep, f"base {SPAN}, islands array<struct<at:bigint,text:string,before:string>>")
 
 
+def sampled(scanned: DataFrame, sample: int = SAMPLE) -> list[Row]:
+    """At most ``sample`` different (text, before, own: base spans in it, times), those of smallest hash of text and before."""
+    rows = scanned.select("base", F.explode("islands").alias("island")).where(F.length("island.text") <= LONGEST)
+    at = F.col("island.at")
+    own = F.filter("base", lambda s: (s["start"] >= at) & (s["start"] < at + F.length("island.text")))
+    own = F.transform(own, lambda s: F.struct((s["start"] - at).alias("start"), s["kind"].alias("kind"), (s["end"] - at).alias("end")))
+    rows = rows.select("island.text", "island.before", own.alias("own")).groupBy("text", "before", "own").agg(F.count("*").alias("times"))
+    return rows.orderBy(F.xxhash64("text", "before"), "text", "before", "own").limit(sample).collect()  # short rows
+
+
 def fit(scanned: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` islands, chosen by a hash of their text, labelled by the base patterns."""
-    rows = scanned.select("base", F.explode("islands").alias("island"))
-    rows = rows.select("base", "island", F.xxhash64("island.text", "island.before").alias("order"))
-    rows = rows.select("island", F.filter("base", lambda s: (s["start"] >= F.col("island.at")) & (s["start"] < F.col("island.at") + F.length("island.text"))).alias("own"), "order")
-    rows = rows.where(F.length("island.text") <= 200).orderBy("order", "island.text", "own").limit(sample)
-    cases = []
-    for row in rows.collect():  # at most ``sample`` short rows
-        at = row["island"]["at"]
-        cases.append((Island(row["island"]["text"], row["island"]["before"]), [(s["start"] - at, s["kind"], s["end"] - at) for s in row["own"]]))
+    """A model of at most ``sample`` different islands, labelled by the base patterns."""
+    cases = [(Island(r["text"], r["before"]), [(s["start"], s["kind"], s["end"]) for s in r["own"]], r["times"]) for r in sampled(scanned, sample)]
     return Model().fit(cases)
 
 

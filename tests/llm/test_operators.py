@@ -346,6 +346,21 @@ def test_pii_model_on_held_out_islands(spark):
     assert total > 50 and hits >= 0.9 * total and wrong <= 0.05 * total
 
 
+def test_pii_sample_holds_different_islands(spark):
+    """A group of copies counts as one island of the sample, wherever its hash puts it."""
+    often = [(k, "call 555-010-9999 now") for k in range(50)]
+    rows = often + [(100 + k, f"mail user{k}@example.org or host 10.0.{k}.7") for k in range(10)]
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    cases = pii.sampled(scanned, 12)
+    different = {(i["text"], i["before"]) for r in scanned.collect() for i in r.islands}
+    found = {(r.text, r.before) for r in cases}
+    assert len(found) == len(cases) == min(12, len(different)) and found <= different
+    every = {(r.text, r.before): r.times for r in pii.sampled(scanned, 1000)}
+    assert set(every) == different and max(every.values()) == 50
+    once = pii.scan(spark.createDataFrame(rows[49:], "doc_id bigint, text string"))
+    assert {(r.text, r.before) for r in pii.sampled(once, 12)} == found
+
+
 def test_pii_recursions_agree():
     model = pii.Model({"bias|1": 0.3, "tokens=2|3": 1.1, "-1>3": 0.2, "digits=3|2": 0.7})
     island = pii.Island("12 345 6", "call")
