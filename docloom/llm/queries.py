@@ -52,7 +52,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the blob ledger, joined back to all documents."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.scan(docs, new_dir(spark, "ledger"))
-    rows = secrets.by_path(docs, found)
+    # Texts travel once, as unseen blobs; the paths go with the blobs' names only.
+    paths = staged(docs.select("doc_id", secrets.blob_id(F.col("text")).alias("blob_id")), "paths")
+    rows = secrets.by_path(paths, found, text=None)
     digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")

@@ -126,26 +126,35 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     return every.select("blob_id", F.split_part("rule_key", F.lit("@"), F.lit(1)).alias("kind"), kinds.alias("rule"), "start", "end")
 
 
-def by_path(versions: DataFrame, findings: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """versions with ``spans`` (in place of a column of that name), a sorted array of (start, rule, kind, end); empty where nothing is found."""
+def by_path(versions: DataFrame, findings: DataFrame, text: str | None = "text", spans: str = "spans", blob: str = "blob_id") -> DataFrame:
+    """versions with ``spans`` (in place of a column of that name), a sorted array of (start, rule, kind, end); empty where nothing is found.
+
+    Where ``text`` is None, versions has the blob's name in column ``blob``, and no text moves.
+    """
     each = findings.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "rule", "kind", "end"))).alias("spans"))
     each = each.toDF("_hit_blob", "_hit_spans")
-    joined = versions.join(each, blob_id(versions[text]) == F.col("_hit_blob"), "left")
+    names = [c for c in versions.columns if c != spans]
+    own = versions.toDF(*(f"_{n}" for n in range(len(versions.columns))))
+    at = {c: F.col(f"_{n}") for n, c in enumerate(versions.columns)}
+    joined = own.join(each, (at[blob] if text is None else blob_id(at[text])) == F.col("_hit_blob"), "left")
     none = F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint>>")
-    return joined.select(*[versions[c] for c in versions.columns if c != spans], F.coalesce("_hit_spans", none).alias(spans))
+    return joined.select(*(at[c].alias(c) for c in names), F.coalesce("_hit_spans", none).alias(spans))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by ``mark``; overlapping spans become one."""
-    hit = by_path(docs, findings, spans="_spans")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    # Columns go by number meanwhile, so that no name of docs clashes.
+    columns = docs.columns
+    hit = by_path(docs.toDF(*(f"c{n}" for n in range(len(columns)))), findings, f"c{columns.index('text')}", "found")
+    text = F.col(f"c{columns.index('text')}")
 
     def step(acc, s):
-        text = F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["out"], F.array(text, F.lit(mark)))
+        part = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        new = F.concat(acc["out"], F.array(part, F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.expr("substring(text, 1 + cast(_end as int))"))
-    clean = hit.withColumn("_end", F.coalesce(F.array_max(F.transform("_spans", lambda s: s["end"])), F.lit(0)))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, done)).otherwise(F.col("text"))
-    return clean.withColumn("text", text).select(*docs.columns)
+    end = F.array_max(F.transform("found", lambda s: s["end"])).cast("int")
+    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, end + 1, F.length(text)))
+    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, done)).otherwise(text)
+    return hit.select(*(clean.alias(c) if c == "text" else F.col(f"c{n}").alias(c) for n, c in enumerate(columns)))
