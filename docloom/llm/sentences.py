@@ -1,12 +1,15 @@
 """Substring dedup by sliding spans of sentences.
 
-Every sentence starts a span of ``SPAN`` sentences, and each shorter one that has ``LONG``
-words or more, so that every run of either length is a span or made of spans. Spans are
-hashed (128 bits) and counted over all documents. Of a span that occurs more than once, the occurrence of smallest
-(doc_id, place) stays; sentences covered by any other occurrence are removed.
-
-Null and edge cases: a null text is the empty text and has no sentences; a text of fewer
-sentences than a span is one span; blank sentences belong to the gap before the next
+Texts are cut after sentence and clause marks and at lines, so that a passage that begins or
+ends inside a sentence loses little. A span is a run of ``SPAN`` such sentences or more with
+``LEAST`` words or more, or any run of ``LONG`` words, that is the shortest from its first
+sentence or the shortest up to its last one: every longer run is made of spans. Spans are
+hashed (128 bits) and counted over all documents.
+Of a span that occurs more than once, the occurrence of smallest (doc_id, place) stays;
+sentences covered by any other occurrence are removed.
+
+Null and edge cases: a null text is the empty text and has no sentences; a text too short
+for a span is one span; blank sentences belong to the gap before the next
 one; rows of equal doc_id count as one document; of a null doc_id every occurrence
 counts as a first one (nothing is removed from it, and it doesn't make others repeat);
 an empty table gives an empty result; other columns are kept. Sentences compare by
@@ -24,12 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 from docloom.llm.arrow import map_columns
 from docloom.llm.store import join_small, staged
 
-SPAN, LONG = 3, 50
+SPAN, LEAST, LONG = 3, 25, 50
 #: Hashes of more than this share of all spans (so at most 1,000 of them) are joined by broadcast, the others by a shuffle.
 HOT_SHARE = 1000
 #: Bytes of files up to which the removed spans are broadcast whole: their arrays take over ten times as much in memory.
 SMALL_HITS = 256 << 10
-GAP = re.compile(r"\n+|(?<=[.!?]) +")
+GAP = re.compile(r"\n+|(?<=[.!?,;:]) +")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -46,19 +49,36 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def runs(sizes: list[int]) -> set[tuple[int, int]]:
+    """(first, end) of the shortest runs from each sentence and up to each sentence; the whole text if none is long enough."""
+    out, n = set(), len(sizes)
+    enough = lambda words, size: words >= LONG or (words >= LEAST and size >= SPAN)
+    end = words = 0
+    for first in range(n):
+        while end < n and not enough(words, end - first):
+            words += sizes[end]
+            end += 1
+        if enough(words, end - first):
+            out.add((first, end))
+        words -= sizes[first]
+    first, words = n, 0
+    for end in range(n, 0, -1):
+        while first > 0 and not enough(words, end - first):
+            first -= 1
+            words += sizes[first]
+        if enough(words, end - first):
+            out.add((first, end))
+        words -= sizes[end - 1]
+    return out or ({(0, n)} if n else out)
+
+
 def spans(found: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
     """(place, sentences, hash, hash) of each span."""
+    digests = [xxhash.xxh3_128_digest(w) for _, _, w in found]
     out = []
-    sizes = [w.count(" ") + 1 for _, _, w in found]
-    for i in range(len(found)):
-        words = 0
-        for n in range(1, min(SPAN, len(found) - i) + 1):
-            words += sizes[i + n - 1]
-            if n < SPAN and words < LONG and (i or n < len(found)):
-                continue
-            data = "\n".join(w for _, _, w in found[i : i + n]).encode()
-            digest = xxhash.xxh3_128_intdigest(data)
-            out.append((i, n, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
+    for first, end in sorted(runs([w.count(" ") + 1 for _, _, w in found])):
+        digest = xxhash.xxh3_128_intdigest(b"".join(digests[first:end]))
+        out.append((first, end - first, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
     return out
 
 
