@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.arrow import bound_batches, map_columns, slices
+from docloom.llm.arrow import bound_batches, map_columns, slices, tidy
 from docloom.llm.components import components, joined
 from docloom.llm.sketch import LETTERS, counts, mix, powers, running, utf8
 from docloom.llm.store import staged
@@ -156,7 +156,7 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(keep, "a bigint, b bigint")
+    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(keep), "a bigint, b bigint")
 
 
 def arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return staged(rows.mapInArrow(keep, "a bigint, b bigint").distinct(), "links")
+    return staged(rows.mapInArrow(tidy(keep), "a bigint, b bigint").distinct(), "links")
 
 
 def labelled(sets: DataFrame, rep: str, named: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def tiles(lists: DataFrame, alone: bool = False) -> DataFrame:
             yield pair_batch(found)
 
     bound_batches(lists.sparkSession)
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(work, "a bigint, b bigint").distinct()
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(work), "a bigint, b bigint").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:

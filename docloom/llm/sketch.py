@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.arrow import slices
+from docloom.llm.arrow import slices, tidy
 
 PART = 1 << 14
 BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8
@@ -77,8 +77,8 @@ def counts(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], slots: in
         for n, own in total.items():
             yield pa.RecordBatch.from_pydict({"part": [n], "n": [np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    rows = texts.mapInArrow(count, "part bigint, at binary, n binary").repartition(slots // PART, "part")
+    rows = texts.mapInArrow(tidy(count), "part bigint, at binary, n binary").repartition(slots // PART, "part")
     out = np.zeros((slots // PART, PART), np.uint32)
-    for row in rows.mapInArrow(add, "part bigint, n binary").collect():
+    for row in rows.mapInArrow(tidy(add), "part bigint, n binary").collect():
         out[row["part"]] = np.frombuffer(row["n"], np.uint32)
     return out.reshape(-1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.llm import induced
-from docloom.llm.arrow import map_columns, slices
+from docloom.llm.arrow import map_columns, slices, tidy
 from docloom.llm.sketch import LETTERS, counts, mix, powers, running, utf8
 from docloom.llm.store import join_small, staged
 
@@ -131,7 +131,7 @@ def contents(rows: DataFrame, chosen: DataFrame) -> DataFrame:
                     names=list(out),
                 )
 
-    return joined.select("text", "take").mapInArrow(work, "anchor bigint, content bigint, times bigint, n int, bytes binary")
+    return joined.select("text", "take").mapInArrow(tidy(work), "anchor bigint, content bigint, times bigint, n int, bytes binary")
 
 
 def ranges(hit: np.ndarray) -> list[dict]:
@@ -164,7 +164,7 @@ def sorted_shards(found: DataFrame, shards: int) -> DataFrame:
                 yield flush(held, folder)
 
     rows = found.repartition(shards, "anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(work, "anchor bigint, content bigint, hits array<struct<a:bigint,b:bigint>>")
+    return rows.mapInArrow(tidy(work), "anchor bigint, content bigint, hits array<struct<a:bigint,b:bigint>>")
 
 
 def merged(spans: list[dict]) -> list[dict]:
