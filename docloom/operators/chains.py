@@ -1,14 +1,30 @@
-"""Stateful sequence kernels: each is a function of one document's rows, run by applyInPandas.
+"""Stateful sequence kernels: each is a function of one document's rows.
 
-Documents are the groups; a group's size is that of one document's markers.
+Documents are the groups; a group's size is that of one document's markers. Sequences that
+are many and short are streamed: sorted rows of a partition pass in Arrow batches, and a
+document ends where the next one begins.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Fixed values of the scoring rule: widest gap, what a missing value costs on one page and across pages,
+#: what it costs at most, the gain of a value that follows directly, what a start above 1 costs for each value before it.
+GAP_MOST, NEAR_COST, FAR_COST, COST_MOST, FOLLOW_GAIN, START_COST = 200, 0.4, 0.12, 4.0, 0.3, 0.25
+EPSILON = 1e-9
+
 
-GAP_MOST, EPSILON = 200, 1e-9
+def link_gains(gaps: np.ndarray) -> np.ndarray:
+    """What it adds to a chain to pass over ``gaps`` values: a row across pages and a row on one page."""
+    costs = np.minimum(COST_MOST, np.multiply.outer((FAR_COST, NEAR_COST), gaps))
+    return np.where(gaps == 0, FOLLOW_GAIN, 0.0) - costs
 
 
 def numeric_chain(rows: list[tuple[int, int, float, int, bool]], rooted: bool) -> tuple[list[int], float]:
@@ -17,48 +33,53 @@ def numeric_chain(rows: list[tuple[int, int, float, int, bool]], rooted: bool) -
     A rooted chain starts at 1 and goes up by one. A backbone may skip values, at a
     penalty that depends on the gap and on whether the page changes; a start above 1
     costs a quarter for each value missed unless it is supported. Rows of one position
-    don't follow each other.
+    don't follow each other. Of equal chains that which ends first is taken.
+
+    For each different value, two rows of a table hold the best chain that ends with it: on
+    earlier pages, and on this page. A row looks at the slice of values within reach at once.
     """
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], rows[i][1]))
-    best: dict[int, tuple[float, int | None]] = {}
-    earlier: dict[int, int] = {}
-    current: dict[int, int] = {}
-    page = None
-    at = 0
-    while at < len(order):
-        same = [i for i in order[at:] if rows[i][0] == rows[order[at]][0]]
-        at += len(same)
-        if rows[same[0]][3] != page:
-            for value, i in current.items():
-                if value not in earlier or best[i][0] > best[earlier[value]][0] + EPSILON:
-                    earlier[value] = i
-            current, page = {}, rows[same[0]][3]
-        for i in same:
-            _, value, score, _, supported = rows[i]
-            found: tuple[float, int | None] | None = None
-            if value == 1 or not rooted:
-                found = (score if value == 1 or supported else score + max(-0.25 * (value - 1), -4.0), None)
-            sources = [value - 1] if rooted else range(max(1, value - 1 - GAP_MOST), value)
-            options = sorted((j, here) for u in sources for table, here in ((earlier, False), (current, True)) if (j := table.get(u)) is not None)
-            for j, here in options:
-                gap = value - rows[j][1] - 1
-                cost = 0.0 if not gap else (-0.4 * gap if here else max(-4.0, -0.12 * gap))
-                new = best[j][0] + score + cost + (0.3 if not gap else 0.0)
-                if found is None or new > found[0] + EPSILON:
-                    found = (new, j)
-            if found is not None:
-                best[i] = found
-        for i in same:
-            if i in best and (rows[i][1] not in current or best[i][0] > best[current[rows[i][1]]][0] + EPSILON):
-                current[rows[i][1]] = i
-    if not best:
+    if not rows:
+        return [], 0.0
+    position, number, score, page, supported = (np.array(c) for c in zip(*rows))
+    values, slot = np.unique(number, return_inverse=True)
+    low = np.searchsorted(values, number - 1 if rooted else np.maximum(1, number - 1 - GAP_MOST))
+    start = np.where(supported, 0.0, -np.minimum(COST_MOST, START_COST * np.maximum(number - 1, 0)))
+    start = np.where(number == 1, 0.0, -np.inf) if rooted else start
+    top = np.full(len(rows), -np.inf)
+    before = np.full(len(rows), -1)
+    table = np.full((2, len(values)), -np.inf)  # scores; row 0: earlier pages, row 1: this page
+    owner = np.full((2, len(values)), -1)
+    here: list[int] = []
+    order = np.lexsort((np.arange(len(rows)), number, position)).tolist()
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    for _, together in groupby(order, key=lambda i: position[i]):
+        together = list(together)
+        if here and page[here[0]] != page[together[0]]:
+            moved = np.unique(slot[here])
+            better = moved[table[1, moved] > table[0, moved] + EPSILON]
+            table[0, better], owner[0, better] = table[1, better], owner[1, better]
+            table[1, moved], here = -np.inf, []
+        for i in together:
+            top[i] = score[i] + start[i]
+            span = slice(low[i], slot[i])
+            if low[i] < slot[i]:
+                offers = table[:, span] + link_gains(number[i] - 1 - values[span]) + score[i]
+                most = offers.max()
+                if most > top[i] + EPSILON:
+                    ties = owner[:, span][offers >= most - EPSILON]
+                    top[i], before[i] = most, ties[np.argmin(place[ties])]
+        for i in together:
+            if top[i] > table[1, slot[i]] + EPSILON:
+                table[1, slot[i]], owner[1, slot[i]] = top[i], i
+        here += together
+    if not np.isfinite(top).any():
         return [], 0.0
-    last = max(best, key=lambda i: (round(best[i][0], 9), -rows[i][0], -i))
-    chain, i = [], last
-    while i is not None:
-        chain.append(i)
-        i = best[i][1]
-    return chain[::-1], best[last][0]
+    last = next(i for i in order if top[i] >= top.max() - EPSILON)
+    chain = [last]
+    while before[chain[-1]] >= 0:
+        chain.append(int(before[chain[-1]]))
+    return chain[::-1], float(top[last])
 
 
 def monotone_scopes(numbers: list[int], most_gap: int) -> list[int]:
@@ -144,17 +165,53 @@ def ladder(tokens: list[str]) -> list[tuple[int, str]]:
     return out
 
 
+def by_document(rows: DataFrame, order: tuple[str, ...], run, schema: str) -> DataFrame:
+    """``run`` on the rows of each document, in order: from columns (numpy) to columns that ``schema`` names.
+
+    The number of partitions is the session's, whatever their bytes: the work is in the rows, not in their size.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def work(batches):
+        held: list[dict] = []
+        last = None
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            ids = batch.column("doc_id").to_pylist()
+            cuts = [k for k in range(1, len(ids)) if ids[k] != ids[k - 1]]
+            done = []
+            for a, b in zip([0, *cuts], [*cuts, len(ids)]) if ids else ():
+                if held and ids[a] != last:
+                    done.append(finish(last, held))
+                    held = []
+                last = ids[a]
+                held.append({c: v[a:b] for c, v in columns.items()})
+            yield from out(done)
+        if held:
+            yield from out([finish(last, held)])
+
+    def finish(doc, held: list[dict]) -> dict:
+        found = run({c: np.concatenate([h[c] for h in held]) for c in held[0] if c != "doc_id"})
+        return {"doc_id": [doc] * len(found[names[1]]), **found}
+
+    def out(done: list[dict]):
+        if done:
+            yield pa.RecordBatch.from_pydict({c: [v for d in done for v in d[c]] for c in names}, schema=arrow)
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(work, schema)
+
+
 def select_numeric_sequence(markers: DataFrame, rooted: bool) -> DataFrame:
     """(doc_id, place, number, chain_score) of the best chain of markers(doc_id, position, number, score, page, supported)."""
+    columns = ["position", "number", "score", "page", "supported"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "number"], kind="stable").reset_index(drop=True)
-        rows = list(pdf[["position", "number", "score", "page", "supported"]].itertuples(index=False, name=None))
-        chain, score = numeric_chain(rows, rooted)
-        picked = pdf.iloc[chain]
-        return pd.DataFrame({"doc_id": picked["doc_id"], "position": picked["position"], "number": picked["number"], "chain_score": round(score, 6)})
+    def run(held: dict) -> dict:
+        chain, score = numeric_chain(list(zip(*(held[c].tolist() for c in columns))), rooted)
+        return {"position": held["position"][chain].tolist(), "number": held["number"][chain].tolist(), "chain_score": [round(score, 6)] * len(chain)}
 
-    return markers.groupBy("doc_id").applyInPandas(run, "doc_id bigint, position bigint, number bigint, chain_score double")
+    return by_document(markers.select("doc_id", *columns), ("position", "number"), run, "doc_id bigint, position bigint, number bigint, chain_score double")
 
 
 def scoped(markers: DataFrame, most_gap: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Kernels on literal cases."""
 
+import random
+
 import pytest
 
 from docloom.functions import dialect
@@ -27,6 +29,46 @@ def test_backbone_over_pages():
     assert chains.numeric_chain([(0, 50, 5.0, 1, True)], rooted=False) == ([0], 5.0)
 
 
+def every_chain(rows, rooted):
+    """The best score over all chains, listed one by one."""
+    order = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+    best = 0.0 if not rows else float("-inf")
+
+    def go(chain, total):
+        nonlocal best
+        best = max(best, total)
+        for i in order:
+            (p, v, s, page, _), (q, u, _, other, _) = rows[i], rows[chain[-1]]
+            gap = v - u - 1
+            if p > q and 0 <= gap <= (0 if rooted else 200):
+                go([*chain, i], total + s + (0.3 if gap == 0 else max(-4.0, -gap * (0.4 if page == other else 0.12))))
+
+    for i in order:
+        _, v, s, _, supported = rows[i]
+        if v == 1 or not rooted:
+            go([i], s if v == 1 or supported else s + max(-4.0, -0.25 * (v - 1)))
+    return best if best > float("-inf") else 0.0
+
+
+@pytest.mark.parametrize("rooted", [False, True])
+def test_numeric_chain_is_the_best_of_all_chains(rooted):
+    pick = random.Random(7)
+    for _ in range(150):
+        rows = []
+        for place in range(pick.randint(0, 9)):
+            value = pick.choice([1, 2, 3, 4, 5, 9, 22, 40, 230]) if pick.random() < 0.7 else place + 1
+            rows.append((pick.randint(max(0, place - 1), place), value, pick.choice([0.5, 1.0, 2.0, 10.0]), place // 4, pick.random() < 0.5))
+        rows = [(p, v, s, p // 4, ok) for p, v, s, _, ok in rows]
+        chain, score = chains.numeric_chain(rows, rooted)
+        assert score == pytest.approx(every_chain(rows, rooted)), rows
+        assert all(rows[a][0] < rows[b][0] and rows[a][1] < rows[b][1] for a, b in zip(chain, chain[1:]))
+
+
+def test_gap_costs_have_a_floor_on_one_page_too():
+    rows = [(0, 1, 10.0, 1, False)] + [(k, 21 + k, 1.0, 1, False) for k in range(1, 7)]
+    assert chains.numeric_chain(rows, rooted=False) == (list(range(7)), pytest.approx(13.5))
+
+
 def test_scopes_and_sections():
     assert chains.monotone_scopes([1, 2, 10, 3, 11, 4], 3) == [0, 0, 1, 0, 1, 0]
     assert chains.increasing_chains([(1,), (2,), (1, 1), (3,)]) == [0, 0, -1, 0]
