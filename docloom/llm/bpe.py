@@ -7,9 +7,10 @@ and goes on until no piece has a pair. Decoding joins the token-position rows of
 texts to the vocabulary and aggregates each text's bytes in order.
 
 Vocabularies are read from a path that is a parameter, once in each Python worker, and
-pieces that a worker has met are kept there up to ``CACHE`` entries. Pieces of more than
-``LONG`` bytes, for which one contraction a step would be quadratic, take the same
-contractions from a heap instead.
+pieces that a worker has met are kept there: ``CACHE`` of them that were met last, and as
+many of before. A step of the query for pieces of more than ``LONG`` bytes contracts all
+pairs of least rank in a piece, the leftmost first, where the new token forms no pair of a
+lower rank with any other, so that one at a time would do the same.
 
 Null and edge cases: a null text is the empty text and has no ids; null ids decode to
 null; ids outside the vocabulary decode to nothing; texts of any length are read whole; equal
@@ -19,7 +20,6 @@ texts get equal ids; an empty table gives an empty result; other columns are kep
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 import unicodedata
 
@@ -58,6 +58,29 @@ with recursive run as (
 select wp >> 24 as w, list(tok order by wp) as ids from run where done group by 1
 """
 
+#: Places keep their numbers here; ``lone`` says that a token may form a pair of lower rank, so that only one pair goes a step.
+ENCODE_LONG = """
+with recursive run as (
+  select false as done, wp, tok from start
+  union all
+  (with pair as (
+     select n.wp, n.tok, m.c, m.lone
+     from (select wp, tok, lead(tok) over (partition by wp >> 24 order by wp) as behind from run where not done) n
+     left join merges m on m.ab = (n.tok << 20) | n.behind),
+   least_pair as (select wp >> 24 as w, min((c << 24) | (wp & 16777215)) as best from pair group by 1),
+   hit as (
+     select p.wp, p.tok, p.c, best is null as done,
+            coalesce(p.c = best >> 24 and (not p.lone or (p.wp & 16777215) = (best & 16777215)), false) as found,
+            row_number() over (partition by w order by wp) as place
+     from pair p join least_pair on w = p.wp >> 24),
+   side as (select *, place - row_number() over (partition by wp >> 24, found order by wp) as chain from hit),
+   chosen as (select *, found and row_number() over (partition by wp >> 24, found, chain order by wp) % 2 = 1 as taken from side),
+   left_one as (select *, lag(taken, 1, false) over (partition by wp >> 24 order by wp) as gone from chosen)
+  select done, wp, case when taken then c else tok end from left_one where not gone)
+)
+select wp >> 24 as w, list(tok order by wp) as ids from run where done group by 1
+"""
+
 DECODE = """
 select wp >> 32 as w, string_agg(hex, '' order by wp) as hex
 from rows join vocabulary using (tok) group by 1
@@ -100,7 +123,9 @@ class Codec:
         ]
         ab, c = (np.array(x, np.int64) for x in zip(*pairs))
         self.con = duckdb.connect(config=DUCKDB)
-        made = pa.table({"ab": ab, "c": c})
+        left, right = ab >> 20, ab & ((1 << 20) - 1)
+        lone = np.isin(c, np.concatenate((left[c < left], right[c < right])))
+        made = pa.table({"ab": ab, "c": c, "lone": lone})
         self.con.register("made", made)
         self.con.execute("create table merges as select * from made")
         words = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
@@ -109,6 +134,7 @@ class Codec:
         self.con.unregister("made")
         self.con.unregister("words")
         self.encoded: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self.plain is not None and not self.other.search(text):
@@ -116,66 +142,45 @@ class Codec:
         return self.pattern.findall(text)
 
     def learn(self, pieces: set[str]) -> None:
-        """Put the ids of new pieces into the cache."""
-        todo = []
+        """Put the ids of pieces into the cache."""
+        todo, long = [], []
         for piece in pieces:
+            known = self.before.get(piece)
+            if known is not None:
+                self.encoded[piece] = known
+                continue
             data = piece.encode()
             rank = self.ranks.get(data)
             if rank is not None:
                 self.encoded[piece] = rank.to_bytes(4, "little")
-            elif len(data) > LONG:
-                self.encoded[piece] = np.array(self.contract(data), "<u4").tobytes()
             else:
-                todo.append((piece, data))
+                (long if len(data) > LONG else todo).append((piece, data))
         for at in range(0, len(todo), PIECES_AT_ONCE):
-            self._recurse(todo[at : at + PIECES_AT_ONCE])
+            self._recurse(todo[at : at + PIECES_AT_ONCE], ENCODE)
+        for own in long:
+            self._recurse([own], ENCODE_LONG)
 
     def _places(self, lengths: np.ndarray, bits: int) -> np.ndarray:
         w = np.repeat(np.arange(len(lengths)), lengths)
         return (w << bits) | (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
 
-    def _recurse(self, todo: list[tuple[str, bytes]]) -> None:
+    def _recurse(self, todo: list[tuple[str, bytes]], query: str) -> None:
         flat = np.frombuffer(b"".join(d for _, d in todo), np.uint8)
         places = self._places(np.array([len(d) for _, d in todo]), 24)
         self.con.register("start", pa.table({"wp": places, "tok": self.single[flat]}))
-        found = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
+        found = self.con.sql(query).to_arrow_table().combine_chunks()
         lists = found["ids"].combine_chunks()
         ids, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
         for w, a, b in zip(found["w"].to_pylist(), ends.tolist(), ends[1:].tolist()):
             self.encoded[todo[w][0]] = ids[a:b]
         self.con.unregister("start")
 
-    def contract(self, data: bytes) -> list[int]:
-        """The same contractions for one long piece, least rank and leftmost first, from a heap."""
-        n = len(data)
-        parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get(data[i : i + 2])) is not None]
-        heapq.heapify(heap)
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (r := self.ranks.get(parts[i] + parts[after[i]])) is not None:
-                heapq.heappush(heap, (r, i))
-
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if parts[i] is None or after[i] >= n or self.ranks.get(parts[i] + parts[after[i]]) != rank:
-                continue  # a neighbour has changed since
-            j = after[i]
-            parts[i] += parts[j]
-            parts[j], after[i] = None, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [self.ranks[p] for p in parts if p is not None]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.split(t) if t else [] for t in texts]
         new = {p for pieces in split for p in pieces}
         if len(self.encoded) > CACHE:
-            self.encoded.clear()
+            self.before, self.encoded = self.encoded, {}
         self.learn(new.difference(self.encoded))
         return [b"".join(map(self.encoded.__getitem__, pieces)) for pieces in split]
 
