@@ -22,10 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stored as telephony codes, read back, expanded and resampled."""
+    """Texts written as telephony codes, read back from the files, expanded and resampled."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     docs = docs.select("doc_id", "text", telephony.byte_length(F.col("text")).alias("n_bytes"))
-    done = telephony.transcode(telephony.store_text(docs), keep=("doc_id", "n_bytes", "media"))
+    media = staged(telephony.store_text(docs).select("doc_id", "n_bytes", "media"), "media", compression="zstd")
+    done = telephony.transcode(media, keep=("doc_id", "n_bytes", "media"))
     return done.select(
         "doc_id",
         "n_bytes",

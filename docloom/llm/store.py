@@ -31,14 +31,14 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs its own tasks, not the steps before.
     """
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
