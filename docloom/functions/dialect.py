@@ -114,6 +114,8 @@ def expand(text: str, duck: bool) -> str:
         own, end = _arguments(text, m.end() - 1)
         text = text[: m.start()] + MACROS[m[1]][duck].format(*own) + text[end:]
     # ⟨ and ⟩ are square brackets as plain characters of a pattern.
+    # ⧵ is a backslash of a pattern.
+    text = text.replace("⧵", "\\" if duck else "\\\\")
     return re.sub("[⟨⟩]", lambda m: ("\\" if duck else "\\\\") + ("[" if m[0] == "⟨" else "]"), text)
 
 

@@ -1,6 +1,10 @@
 """Aggregations, distinct rows, top lists and orders."""
 
-from docloom.plans.registry import sql
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docloom.functions import dialect
+from docloom.plans.registry import query, sql
 
 # AGG-01: the numbered paragraphs of each document, with the missing ones.
 RANGES = """
@@ -34,8 +38,8 @@ sql("agg_top_documents", "select doc_id, n_lines from (select doc_id, count(*) a
 sql(
     "agg_structure_stats",
     """
-select c.doc_id, count(*) filter (where kind = 'section') as n_sections, count(*) filter (where kind = 'paragraph') as n_paragraphs, count(*) filter (where state = 'absent') as n_absent, min(@sha(text)) as text_sha256
-from claims c join documents d on d.doc_id = c.doc_id group by c.doc_id
+select c.doc_id, count(*) filter (where kind = 'section') as n_sections, count(*) filter (where kind = 'paragraph') as n_paragraphs, count(*) filter (where state = 'absent') as n_absent, min(text_sha256) as text_sha256
+from claims c join (select doc_id, @sha(text) as text_sha256 from documents) d on d.doc_id = c.doc_id group by c.doc_id
 """,
 )
 
@@ -133,10 +137,26 @@ from (select doc_id, page_number, source_index, y0, (x1 - x0) * (y1 - y0) * (sou
 )
 
 # AGG-21: whole numbers first, then by map order.
-sql("agg_ordered_sections", "select doc_id, key_text, cast(row_number() over (partition by doc_id order by case when @like(key_text, '^[0-9]+$') then 0 else 1 end, @int(key_text), line_no) as bigint) as place from (select doc_id, line_no, case when line_no % 3 = 0 then concat('s', line_no) else cast(97 - line_no as varchar(9)) end as key_text from doc_lines where line_no < 60) k")
+sql("agg_ordered_sections", "select doc_id, key_text, cast(row_number() over (partition by doc_id order by case when @like(key_text, '^[0-9]+$') then 0 else 1 end, @int(key_text), line_no) as bigint) as place from (select doc_id, line_no, case when line_no % 3 = 0 then concat('s', line_no) else cast(97 - line_no as varchar(9)) end as key_text from doc_lines) k")
 
 # Measures of recognition quality.
-sql("evl_edit_distance", "select doc_id, line_no, cast(@edit(@left(line, 40), @left(after, 40)) as bigint) as distance, cast(length(@left(line, 40)) as bigint) as n_gold from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null")
-sql("evl_summary", "select doc_id, cast(sum(d) as bigint) as errors, cast(sum(n) as bigint) as gold, @even(sum(d) / cast(sum(n) as double), 6) as cer from (select doc_id, @edit(@left(line, 30), @left(after, 30)) as d, length(@left(line, 30)) as n from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null) e group by doc_id having sum(n) > 0")
-sql("evl_order_agreement", "select a.doc_id, count(*) as pairs, count(*) filter (where (a.other < b.other)) as concordant from (select doc_id, line_no, line_no * 7 % 11 as other from doc_lines where line_no < 30) a join (select doc_id, line_no, line_no * 7 % 11 as other from doc_lines where line_no < 30) b on a.doc_id = b.doc_id and a.line_no < b.line_no group by a.doc_id")
+sql("evl_edit_distance", "select doc_id, line_no, cast(@edit(line, after) as bigint) as distance, cast(length(line) as bigint) as n_gold from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null")
+sql("evl_summary", "select doc_id, cast(sum(d) as bigint) as errors, cast(sum(n) as bigint) as gold, @even(sum(d) / cast(sum(n) as double), 6) as cer from (select doc_id, @edit(line, after) as d, length(line) as n from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null) e group by doc_id having sum(n) > 0")
+
+
+# Pairs of lines in the same order by both orders. The oracle lists all pairs; the query counts, at each line, the lines before with each smaller rank.
+RANKS = 11
+AGREEMENT = "select doc_id, line_no, line_no * 7 % 11 as other from doc_lines"
+
+
+@query("evl_order_agreement", f"select a.doc_id, count(*) as pairs, count(*) filter (where a.other < b.other) as concordant from ({AGREEMENT}) a join ({AGREEMENT}) b on a.doc_id = b.doc_id and a.line_no < b.line_no group by a.doc_id")
+def order_agreement(spark, sf_dir):
+    """Linear in the lines: ``other`` has RANKS values."""
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dialect.run(spark, sf_dir, AGREEMENT)
+    smaller = [F.when(F.col("other") > k, F.coalesce(F.sum(F.when(F.col("other") == k, 1)).over(before), F.lit(0))).otherwise(0) for k in range(RANKS)]
+    rows = rows.select("doc_id", F.count("*").over(before).alias("n_before"), sum(smaller[1:], smaller[0]).alias("n_smaller"))
+    return rows.groupBy("doc_id").agg(F.sum("n_before").alias("pairs"), F.sum("n_smaller").alias("concordant")).where("pairs > 0")
+
+
 sql("evl_nearest_rank", "select doc_id, cast(max(n) as bigint) as p90 from (select doc_id, length(line) as n, row_number() over (partition by doc_id order by length(line)) - 1 as place, count(*) over (partition by doc_id) as total from doc_lines) r where place <= @even((total - 1) * 0.9e0, 0) group by doc_id")

@@ -1,6 +1,9 @@
 """Joins of ranges, positions and labels; all are keyed by document."""
 
-from docloom.plans.registry import sql
+from pyspark.sql import functions as F
+
+from docloom.plans.registry import query, sql
+from docloom.session import table
 
 # JOIN-01: cross-references to notes by number.
 sql(
@@ -26,7 +29,7 @@ from nodes n join claims c on c.doc_id = n.doc_id and n.a < c.range_end and c.ra
 sql(
     "join_line_at",
     """
-with points as (select doc_id, label, label * 97 as spot from notes where label <= 12),
+with points as (select doc_id, label, label * 97 as spot from notes),
 both_kinds as (
   select doc_id, range_start as pos, 0 as what, line_no, cast(null as bigint) as label from claims where range_end > range_start
   union all select doc_id, spot as pos, 1 as what, cast(null as bigint) as line_no, label from points)
@@ -78,9 +81,9 @@ select doc_id, source_index, body_index from (
 sql(
     "join_phrase",
     """
-with words as (select distinct doc_id, line_no, word from (select doc_id, line_no, @tokens(line) as word from doc_lines where line_no < 12) w where length(word) > 3),
+with words as (select distinct doc_id, line_no, word from (select doc_id, line_no, @tokens(line) as word from doc_lines) w where length(word) > 3),
 often as (select doc_id, word, count(*) as n from words group by doc_id, word),
-phrases as (select doc_id, line_no as phrase_id, substring(line, 1, 30) as phrase from doc_lines where line_no < 12 and line_no % 3 = 0 and length(line) >= 30),
+phrases as (select doc_id, line_no as phrase_id, line as phrase from doc_lines where length(line) >= 30),
 rarest as (
   select doc_id, phrase_id, phrase, word from (
     select p.doc_id, phrase_id, phrase, o.word, row_number() over (partition by p.doc_id, phrase_id order by o.n, o.word) as place
@@ -92,15 +95,25 @@ group by r.doc_id, phrase_id having count(*) = 1
 """,
 )
 
-# JOIN-10: values that occur exactly once in the text.
-sql(
+# JOIN-10: values that occur exactly once in the text. A document's lines are looked up inside its own row.
+@query(
     "join_unique_substring",
     """
-select p.doc_id, p.line_no, cast(position(v in text) as bigint) - 1 as found_at
-from (select doc_id, line_no, line as v from doc_lines where length(line) between 20 and 200) p join documents d on d.doc_id = p.doc_id
-where length(text) - length(replace(text, v, '')) = length(v)
+select p.doc_id, p.line_no, cast(strpos(d.text, v) as bigint) - 1 as found_at
+from (select doc_id, line_no, line as v from doc_lines where line <> '') p join documents d on d.doc_id = p.doc_id
+where len(string_split(d.text, v)) = 2
 """,
 )
+def unique_substring(spark, sf_dir):
+    spots = F.transform(
+        F.split("text", "\n", -1),
+        lambda v: F.when(
+            (v != "") & (F.length("text") - F.length(F.replace(F.col("text"), v, F.lit(""))) == F.length(v)), F.position(v, F.col("text")).cast("bigint") - 1
+        ),
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(spots).alias("line_no", "found_at"))
+    return rows.where("found_at is not null").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "found_at")
+
 
 # JOIN-11, JOIN-12, JOIN-13: pairs to ranges, references that are new, references without a note.
 sql(

@@ -79,8 +79,8 @@ sql("ocr_order_footnotes", "select doc_id, source_index, cast(row_number() over
 sql(
     "ocr_recognition_jobs",
     """
-select page_number, bucket, job, count(*) as n_lines, max(w) as widest from (
-  select page_number, bucket, w, cast(floor((row_number() over (partition by page_number, bucket order by doc_id, source_index) - 1) / 16) as bigint) as job
-  from (select doc_id, page_number, source_index, x1 - x0 as w, cast(ceil((x1 - x0) / 64.0e0) as bigint) as bucket from layout) l) j group by page_number, bucket, job
+select doc_id, bucket, job, count(*) as n_lines, max(w) as widest from (
+  select doc_id, bucket, w, cast(floor((row_number() over (partition by doc_id, bucket order by source_index) - 1) / 16) as bigint) as job
+  from (select doc_id, source_index, x1 - x0 as w, cast(ceil((x1 - x0) / 64.0e0) as bigint) as bucket from layout) l) j group by doc_id, bucket, job
 """,
 )

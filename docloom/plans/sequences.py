@@ -136,11 +136,11 @@ select s.doc_id, pair_id, since, until, substring(text, cast(since as int) + 1,
 sql(
     "seq_build_regions",
     """
-select doc_id, region_type, cast(island as bigint) as island, min(source_index) as first_line, max(source_index) as last_line, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from (
-  select doc_id, region_type, source_index, y0, y1, sum(fresh) over (partition by doc_id order by source_index) as island from (
-    select doc_id, region_type, source_index, y0, y1, case when region_type = lag(region_type) over (partition by doc_id order by source_index)
-      and block_index = lag(block_index) over (partition by doc_id order by source_index) then 0 else 1 end as fresh from layout) f) i
-group by doc_id, region_type, island
+select doc_id, page_number, region_type, cast(island as bigint) as island, min(source_index) as first_line, max(source_index) as last_line, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from (
+  select doc_id, page_number, region_type, source_index, y0, y1, sum(fresh) over (partition by doc_id, page_number order by source_index) as island from (
+    select doc_id, page_number, region_type, source_index, y0, y1, case when region_type = lag(region_type) over (partition by doc_id, page_number order by source_index)
+      and block_index = lag(block_index) over (partition by doc_id, page_number order by source_index) then 0 else 1 end as fresh from layout) f) i
+group by doc_id, page_number, region_type, island
 """,
 )
 

@@ -1,6 +1,10 @@
 """Adapters of stored documents: unpivoted imports, upserts, caches and request envelopes."""
 
-from docloom.plans.registry import sql
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docloom.plans.registry import query, sql
+from docloom.session import table
 
 # SRC-03, SRC-04: page exports put together; marks leave the text.
 sql(
@@ -17,11 +21,11 @@ select doc_id, page, first_line, @u16(body) as n_utf16, substring(body, 1, 40) a
 sql("src_markup_text", "select page_id, @sub(@sub(@sub(@sub(html, '<(script|style)[^>]*>[^<]*', ' '), '<!--[^>]*-->', ' '), '<[^>]*>', ' '), '[ \t\n]+', ' ') as text from pages")
 sql("src_markup_blocks", "select page_id, cast(@hits(html, '<p[ >]') as bigint) as n_paragraphs, cast(@hits(html, '<li[ >]') as bigint) as n_items, cast(@hits(html, '<a [^>]*href=') as bigint) as n_links, cast(@hits(html, '<h[1-6][ >]') as bigint) as n_headings from pages")
 
-# SRC-07: two languages of a row as two rows, each with the other's value where it has none; resumed after an id.
+# SRC-07: two languages of a row as two rows, each with the other's value where it has none.
 sql(
     "src_import",
     """
-with stored as (select doc_id as id, case when lang = 'en' then text end as text_en, case when lang <> 'en' then text end as text_fr from documents where doc_id > 99)
+with stored as (select doc_id as id, case when lang = 'en' then text end as text_en, case when lang <> 'en' then text end as text_fr from documents)
 select id, 'en' as language, @sha(coalesce(text_en, text_fr)) as text_sha256 from stored union all select id, 'fr', @sha(coalesce(text_fr, text_en)) from stored where text_fr is not null
 """,
 )
@@ -45,10 +49,20 @@ cached as (select @sha(concat(text, '|v1')) as cache_key from documents where do
 select doc_id, cache_key from wanted w where not exists (select 1 from cached c where c.cache_key = w.cache_key)
 """,
 )
-sql(
-    "src_cache_eviction",
-    "select doc_id, upto > 1000000 as evicted from (select doc_id, sum(n_chars) over (order by doc_id desc rows between unbounded preceding and current row) as upto from documents) c",
-)
+KEPT_CHARS, BUCKETS = 1_000_000, 4096
+
+
+@query("src_cache_eviction", f"select doc_id, upto > {KEPT_CHARS} as evicted from (select doc_id, sum(n_chars) over (order by doc_id desc rows between unbounded preceding and current row) as upto from documents) c")
+def cache_eviction(spark, sf_dir):
+    """Newest first, what no longer fits goes: sums of at most BUCKETS ranges of ids first, then running sums inside of each."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    rows = rows.join(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("doc_id") - F.col("low")) * BUCKETS / (F.col("high") - F.col("low") + 1)))
+    newer = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("bucket").agg(F.sum("n_chars").alias("n")).select("bucket", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("above"))
+    own = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(sums), "bucket").select("doc_id", (F.col("above") + F.sum("n_chars").over(own) > KEPT_CHARS).alias("evicted"))
+
 
 # SRC-12: request envelopes are checked by field.
 sql(

@@ -26,9 +26,9 @@ select doc_id, cast(@hits(t, '\r\n|\r|\n|\u2028|\u2029') as bigint) + 1 as n_lin
 sql(
     "txt_quality",
     """
-select doc_id, greatest(0.0e0, @even(least(length(trim(text)) / 100.0e0, 1.0e0) * printable * (1.0e0 - least(20.0e0 * odd, 1.0e0)), 4)) as quality
-from (select doc_id, text, length(@sub(text, '[^ -~]', '')) / cast(length(text) as double) as printable,
-             length(@sub(text, '[^�]', '')) / cast(length(text) as double) as odd from documents where length(text) > 0) t
+select doc_id, greatest(0.0e0, @even(least(length(@sub(text, '^[ ⧵t-⧵r]+|[ ⧵t-⧵r]+$', '')) / 100.0e0, 1.0e0) * printable * (1.0e0 - least(20.0e0 * odd, 1.0e0)), 4)) as quality
+from (select doc_id, text, length(@sub(text, '[^⧵p{L}⧵p{M}⧵p{N}⧵p{P}⧵p{S} ]', '')) / cast(greatest(length(text), 1) as double) as printable,
+             length(@sub(text, '[^�]', '')) / cast(greatest(length(text), 1) as double) as odd from (select doc_id, coalesce(text, '') as text from documents) n) t
 """,
 )
 
@@ -37,7 +37,7 @@ sql(
     "txt_normalize",
     """
 select doc_id, line_no, @sub(@sub(@sub(t, '﻿', ''), '​​+', ' '), '​', '') as clean
-from (select doc_id, line_no, replace(replace(line, ' th', '​th'), ' an', '​​an') as t from doc_lines) x where line_no < 20
+from (select doc_id, line_no, replace(replace(line, ' th', '​th'), ' an', '​​an') as t from doc_lines) x
 """,
 )
 
@@ -97,7 +97,7 @@ sql(
     """
 select doc_id, label, cast(row_number() over (partition by doc_id order by a, b, label) as bigint) as by_component,
        cast(row_number() over (partition by doc_id order by a, rpad(cast(b as varchar(9)), 6, '0'), label) as bigint) as by_fraction
-from (select doc_id, concat(line_no % 4 + 1, '.', line_no + 1) as label, line_no % 4 + 1 as a, line_no + 1 as b from doc_lines where line_no < 30) l
+from (select doc_id, concat(line_no % 4 + 1, '.', line_no + 1) as label, line_no % 4 + 1 as a, line_no + 1 as b from doc_lines) l
 """,
 )
 

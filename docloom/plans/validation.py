@@ -10,7 +10,7 @@ select doc_id, kind, count(*) as n_ranges,
        count(*) filter (where before is not null and range_start < before) as n_overlaps,
        count(*) filter (where before is not null and range_start > before) as n_gaps,
        min(range_start) as first_start, max(range_end) as last_end
-from (select doc_id, kind, range_start, range_end, lag(range_end) over (partition by doc_id, kind order by range_start, range_end) as before from claims) c
+from (select doc_id, kind, range_start, range_end, max(range_end) over (partition by doc_id, kind order by range_start, range_end rows between unbounded preceding and 1 preceding) as before from claims) c
 group by doc_id, kind
 """,
 )
@@ -21,9 +21,9 @@ sql(
     "val_document_ranges",
     """
 select c.doc_id, count(*) as n_claims, count(distinct label) as n_labels,
-       count(*) filter (where range_end > length(text)) as n_beyond,
+       count(*) filter (where range_end > n_scalars) as n_beyond,
        count(*) filter (where range_start > range_end) as n_reversed
-from claims c join documents d on c.doc_id = d.doc_id group by c.doc_id
+from claims c join (select doc_id, length(text) as n_scalars from documents) d on c.doc_id = d.doc_id group by c.doc_id
 """,
 )
 

@@ -15,7 +15,7 @@ def get_spark(app: str = "docloom", master: str | None = None, **conf: str) -> S
     bytes) are set.
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER_SET"):
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit has set a master of its own
         builder = builder.master(master or "local[8]")
     settings = {
         "spark.sql.session.timeZone": "UTC",
