@@ -67,7 +67,7 @@ from doc_lines""",
     "notes": """
 select doc_id, line_no, cast(row_number() over (partition by doc_id order by line_no) as bigint) as label,
        concat('note-', row_number() over (partition by doc_id order by line_no)) as pair_id,
-       concat('See supra note ', (line_no % 6) + 1, ', ', substring(line, 1, 40)) as body
+       concat('See supra note ', (line_no % 6) + 1, ', ', line) as body
 from doc_lines where length(line) % 3 = 0""",
     "claims": """
 select doc_id, case when line_no % 2 = 0 then 'section' else 'paragraph' end as kind,

@@ -8,7 +8,7 @@ from docloom.plans.registry import query, sql
 
 # AGG-01: the numbered paragraphs of each document, with the missing ones.
 RANGES = """
-with bounds as (select doc_id, count(*) as n_blocks, min(number) as first_n, max(number) as last_n from markers where style = 'bracket' group by doc_id),
+with bounds as (select doc_id, count(*) as n_blocks, min(number) as first_n, max(number) as last_n from markers group by doc_id),
 wanted as (select doc_id, @seq(first_n, last_n) as number from bounds),
 missing as (select w.doc_id, w.number, row_number() over (partition by w.doc_id order by w.number) as place, count(*) over (partition by w.doc_id) as n_missing
             from wanted w where not exists (select 1 from markers m where m.doc_id = w.doc_id and m.number = w.number)),

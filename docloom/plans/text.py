@@ -63,9 +63,9 @@ from (select doc_id, label, translate(case when label % 4 = 0 then concat('00',
 sql(
     "txt_label_prefix",
     """
-select doc_id, line_no, regexp_extract(line, '^([0-9]{1,4}|[*]{1,8})[.]? ', 1) as label,
-       length(@sub(regexp_extract(line, '^[0-9]{1,4}[.]? (.*)$', 1), '[^A-Za-z]', '')) >= 4 as compact_note
-from marked where style <> 'bracket'
+select doc_id, line_no, regexp_extract(line, '^(⟨[0-9]{1,4}⟩|[0-9]{1,4}|[*]{1,8})[.]? ', 1) as label,
+       length(@sub(regexp_extract(line, '^⟨?[0-9]{1,4}⟩?[.]? (.*)$', 1), '[^A-Za-z]', '')) >= 4 as compact_note
+from marked
 """,
 )
 
