@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fields that a request may have, by operation (fixed values of the request format).
 FIELDS = {
@@ -42,3 +42,40 @@ def selected_pages(pages: list[int]) -> list[int]:
     if not pages or len(pages) > MOST_PAGES or min(pages) < 1:
         raise ValueError("pages must be 1 to 1000 positive numbers")
     return sorted({p - 1 for p in pages})
+
+
+#: Names of a block's fields in the orders that providers write them (fixed values of the format).
+FIELD_ORDERS = {
+    "projected": "kind label start end origin aliases anchor",
+    "native": "kind label start end anchor aliases origin",
+    "native_with_aliases": "kind label start end anchor aliases origin",
+    "aliases_before_origin": "kind label start end aliases origin anchor",
+    "aliases_anchor_before_origin": "kind label start end aliases anchor origin",
+    "end_last": "kind label start anchor aliases origin end",
+}
+
+
+def block_json(blocks: DataFrame) -> DataFrame:
+    """blocks(kind, label, start, end, origin, aliases, anchor, parent_label, field_order) with ``json``.
+
+    Null anchors and parents are left out, and so are empty aliases but in the order
+    'native_with_aliases'. An unknown order gives null.
+    """
+    some = F.when(F.size("aliases") > 0, F.col("aliases"))
+    every = F.coalesce("aliases", F.array().cast("array<string>"))
+
+    def written(order: str) -> Column:
+        fields = [((every if order == "native_with_aliases" else some) if c == "aliases" else F.col(c)).alias(c) for c in FIELD_ORDERS[order].split()]
+        return F.to_json(F.struct(*fields, F.col("parent_label").alias("parentLabel")), {"ignoreNullFields": "true"})
+
+    return blocks.withColumn("json", F.coalesce(*[F.when(F.col("field_order") == order, written(order)) for order in FIELD_ORDERS]))
+
+
+def write_json_gz(rows: DataFrame, path: str) -> None:
+    """One gzip JSON line per row, columns in their order; the committer replaces a path as a whole or not at all."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression="gzip")
+
+
+def read_json_gz(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_json_gz`` wrote; a line that doesn't fit the schema fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
