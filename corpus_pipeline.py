@@ -2,6 +2,12 @@
 
 The stages: line-first quality rules; one document of each group of near copies;
 secrets redacted; sources mixed to target weights; byte-level BPE.
+
+Null and edge cases: an empty table gives an empty one at each stage; rows of null or empty
+text fail the quality rules, stay in the three stages after them, and have no tokens; rows of
+null doc_id are judged like others but are no near copy of anything; rows of null source are
+a source of their own; repeated rows stay as often as they come until the mix; other columns,
+whatever their names, are carried along up to the last stage.
 """
 
 from __future__ import annotations

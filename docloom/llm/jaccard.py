@@ -372,4 +372,4 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component; rows without words all stay."""
     gone = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = staged(gone, "near-copies")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

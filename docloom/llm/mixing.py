@@ -184,11 +184,14 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """
     rows = staged(sized(docs, seed), "mix-sized")
     plan = staged(cuts(rows, targets(rows, **how)), "mix-plan").select("goal_source", "whole", "cut", "extra")
-    plan = plan.toDF("_mix_goal", "_mix_whole", "_mix_cut", "_mix_extra")
-    copies = copies_of(draw(docs["doc_id"], seed), F.col("_mix_whole"), F.col("_mix_cut"), F.col("_mix_extra"))
+    plan = plan.toDF("goal", "whole", "cut", "extra")
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no column has a name of the plan's
+    doc_id, source = (inner[f"c{docs.columns.index(c)}"] for c in ("doc_id", "source"))
+    copies = copies_of(draw(doc_id, seed), F.col("whole"), F.col("cut"), F.col("extra"))
     return (
-        docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_goal")))
+        inner.join(plan, source.eqNullSafe(F.col("goal")))
         .where(copies >= 1)
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-        .select(*[docs[c] for c in docs.columns])
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+        .select(*inner.columns)
+        .toDF(*docs.columns)
     )

@@ -52,3 +52,40 @@ def test_stages(spark):
     want = sorted((r.doc_id, library.encode_ordinary(r.text)) for r in rows)
     assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in out) == want
     assert not re.search("too short", " ".join(r.text for r in rows))
+
+
+CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_of_no_rows(spark, name):
+    docs = spark.createDataFrame([], CLASH)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert out.count() == 0 and (name == "byte_bpe" or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_of_nulls_repeats_and_other_columns(spark, name):
+    """Nulls in each column, an empty text, a repeated row, one very long text, and columns named as the stages' own."""
+    prose = lambda k: " ".join(f"word{k}x{n}" for n in range(60)) + "."
+    long = " ".join(f"long{n}" for n in range(300_000)) + "."
+    rows = [(1, prose(1), "en", "a", 5), (1, prose(1), "en", "a", 5), (None, prose(2), None, None, None), (3, None, "en", "a", None), (4, "", "en", "b", 0), (5, long, "en", "b", 0)]
+    own = ("spans", "_spans", "_gone", "component_id", "size", "kept", "ids", "blob_id", "path", "component", "_end", "_hit_blob", "n", "key", "s", "target", "_mix_goal", "_mix_copy", "goal", "whole", "copy", "c0")
+    docs = spark.createDataFrame([(*r, *[f"own{k}"] * len(own)) for k, r in enumerate(rows)], CLASH + "".join(f", {c} string" for c in own))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    got = out.collect()
+    if name == "byte_bpe":
+        assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and len(got) == len(rows)
+        assert sorted(r.n_tokens for r in got)[:2] == [0, 0]
+        return
+    assert out.columns == docs.columns
+    assert all(r[c].startswith("own") and len({r[c] for c in own}) == 1 for r in got for c in own)
+    counts = {k: sum(r.doc_id == k for r in got) for k in (1, None, 3, 4, 5)}
+    if name == "quality_rules":
+        assert counts == {1: 2, None: 1, 3: 0, 4: 0, 5: 1}
+    elif name == "near_copies":
+        assert counts == {1: 2, None: 1, 3: 1, 4: 1, 5: 1}
+    elif name == "secret_scan":
+        assert counts == {1: 2, None: 1, 3: 1, 4: 1, 5: 1} and {r.doc_id: r.text for r in got} == {r[0]: r[1] for r in rows}
+    else:
+        assert set(r.text for r in got) <= {r[1] for r in rows} and max(counts.values()) <= 6
