@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import dialect
-from docloom.operators import evidence, locators
+from docloom.operators import evidence, locators, passages
 from docloom.plans.registry import query
 from docloom.sources import adapters
 
@@ -192,3 +192,11 @@ def block_json(spark, sf_dir):
         case when line_no % 2 = 0 then '#a' end as anchor, cast(null as string) as parent_label, case when line_no % 4 = 1 then 'native_with_aliases' else 'native' end as field_order from claims""",
     )
     return adapters.block_json(rows).select("doc_id", "line_no", "json")
+
+
+@query("txt_sentence_at")
+def sentence_at(spark, sf_dir):
+    """TXT-22: the sentences at the begin, the middle and the end of each line of a document."""
+    texts = dialect.run(spark, sf_dir, "select doc_id as text_id, text from documents")
+    spots = dialect.run(spark, sf_dir, "select doc_id as text_id, explode(array(range_start, floor((range_start + range_end) / 2), range_end)) as offset from claims")
+    return passages.sentences_at(texts, spots)
