@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import dialect
-from docloom.operators import evidence, locators, passages
+from docloom.operators import columns, evidence, locators, passages
 from docloom.plans.registry import query
 from docloom.sources import adapters
 
@@ -200,3 +200,15 @@ def sentence_at(spark, sf_dir):
     texts = dialect.run(spark, sf_dir, "select doc_id as text_id, text from documents")
     spots = dialect.run(spark, sf_dir, "select doc_id as text_id, explode(array(range_start, floor((range_start + range_end) / 2), range_end)) as offset from claims")
     return passages.sentences_at(texts, spots)
+
+
+@query("agg_column_model")
+def column_model(spark, sf_dir):
+    """AGG-11: columns of each page, the odd lines of some documents set in a second one."""
+    lines = dialect.run(
+        spark,
+        sf_dir,
+        """select doc_id, page_number as page, 612.0e0 as page_width, y0, y1, region_type, false as excluded, x0 + side * 240 as x0, least(x1, x0 + 200) + side * 240 as x1
+        from (select *, case when doc_id % 2 = 0 then source_index % 2 else 0 end as side from layout) l""",
+    )
+    return columns.page_columns(lines)
