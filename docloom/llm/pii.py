@@ -1,15 +1,20 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
-Base patterns (email, ip, card, phone) run over each whole text. Beside them, every run
-of consecutive tokens that hold a digit or '@' is an island: no entity has a token
-without either, so that segmentation outside of islands is fixed. In an island, features
-of whole candidate spans (digit groups, check digit, octets, punctuation, the word
-before) score segments of up to ``MOST_TOKENS`` tokens, and dynamic programming chooses
-boundaries and types jointly. Spans whose posterior reaches ``SURE`` and that don't
-overlap a base span are added.
+Base patterns (email, ip, card, phone) run over each whole text. Beside them, the tokens
+that hold a digit, '@' or a written-out 'at' or 'dot', with up to ``REACH`` tokens of the
+line on either side, are islands. In an island, features of whole candidate spans (digit
+groups, check digit, what stands between them, classes of the tokens inside, at the edges
+and around, the word before) score segments of up to ``MOST_TOKENS`` tokens with such a
+token in them, and dynamic programming chooses boundaries and types jointly. Spans whose
+posterior reaches ``SURE`` and that don't overlap a base span are added. An island of many
+tokens is decoded in pieces of ``PIECE`` tokens, with ``MARGIN`` more on either side whose
+spans belong to the neighbour.
 
 The model is fitted on ``SAMPLE`` different islands at most, of up to ``LONGEST`` characters,
-those of smallest hash, with their counts and the base matches as labels; all islands of all texts are then decoded.
+those of smallest hash, with their counts and the base matches as labels. The first ``VARIED``
+of them with an entity also come with it written otherwise, as no base pattern finds it,
+and with decoys in its place (``disguise``): no feature says what a pattern says, so that the
+model knows entities that the patterns miss. All islands of all texts are then decoded.
 
 Null and edge cases: a null text is the empty text; spans count code points, end
 exclusive; repeated rows and equal texts get equal spans; with no islands at all nothing
@@ -20,19 +25,32 @@ are not read. Base patterns are searched in time linear in the text.
 from __future__ import annotations
 
 import math
+import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 
+from docloom.llm import disguise
 from docloom.llm.arrow import map_columns
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, LONGEST, MOST_TOKENS, SURE = 2000, 200, 6, 0.95
-EPOCHS, RATE, DECAY = 12, 0.3, 1e-4
-
-TRIGGER = re.compile(r"[0-9@]")
+SAMPLE, LONGEST, MOST_TOKENS, SURE = 2000, 240, 8, 0.95
+#: Tokens around a trigger, within so many characters; tokens of a piece and its margins.
+REACH, REACH_CHARS, PIECE, MARGIN = 3, 120, 128, 2 * MOST_TOKENS
+#: Islands with entities that are varied, and how often each.
+VARIED, TIMES = 160, 2
+EPOCHS, RATE, DECAY = 14, 0.3, 1e-4
+
+TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]|(?<!\S)dot(?!\S)|(?<!\S)at(?=\s[a-z0-9-]+\.[a-z0-9])", re.IGNORECASE)
+AT_WORD = re.compile(r"[\[({]at[\])}]|(?<!\S)at(?!\S)", re.IGNORECASE)
+DOT_WORD = re.compile(r"[\[({](?:dot|\.)[\])}]|(?<!\S)dot(?!\S)", re.IGNORECASE)
+BETWEEN = re.compile(r"(?<=[0-9])[^0-9A-Za-z]+(?=[0-9])")
+#: Words that say what follows; others count as one.
+CUES = frozenset("phone tel telephone call fax mobile cell email e-mail mail contact ip host server address card visa account version page section isbn date token no".split())
 TOKEN = re.compile(r"\S+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,28 +103,75 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def islands(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, word before) of each maximal run of tokens that hold a digit or '@'."""
-    if not TRIGGER.search(text):
-        return []
-    out: list[tuple[int, int, str]] = []
-    upto, before, at = 0, "", 0
+def words_before(text: str, at: int, least: int) -> list[re.Match]:
+    """Up to REACH tokens of the line before a place, within REACH_CHARS characters."""
+    low = max(least, at - REACH_CHARS)
+    low = max(low, text.rfind("\n", low, at) + 1)
+    found = list(TOKEN.finditer(text, low, at))
+    if found and found[0].start() == low > least and not text[low - 1].isspace():
+        found = found[1:]
+    return found[-REACH:]
+
+
+def end_after(text: str, at: int) -> int:
+    """Where the last of up to REACH tokens of the line after a place ends."""
+    high = min(len(text), at + REACH_CHARS)
+    line = text.find("\n", at, high)
+    high = high if line < 0 else line
+    found = [m.end() for m in TOKEN.finditer(text, at, high)]
+    if found and found[-1] == high < len(text) and not text[high].isspace():
+        found = found[:-1]
+    return found[:REACH][-1] if found else at
+
+
+def cue(text: str, at: int, least: int = 0) -> str:
+    """The word before a place."""
+    words = text[max(least, at - 40) : at].split()
+    return words[-1].lower().strip("\"':=,.!()") if words else ""
+
+
+def islands(text: str) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, word before, first and last own place) of each run of triggers and the tokens around them."""
+    out: list[list[int]] = []
+    done = 0  # the end of the last trigger's token
     for hit in TRIGGER.finditer(text):
-        if hit.start() < upto:
+        if hit.start() < done:
             continue
-        start = hit.start()
-        while start > at and not text[start - 1].isspace():
+        start, before = hit.start(), done
+        while start > before and not text[start - 1].isspace():
             start -= 1
-        end = TOKEN.match(text, hit.start()).end()
-        gap = text[upto:start]
-        if out and upto and gap.isspace() and "\n" not in gap:
-            out[-1] = (out[-1][0], end, out[-1][2])
+        done = TOKEN.match(text, hit.start()).end()
+        around = words_before(text, start, before)
+        low, high = (around[0].start() if around else start), end_after(text, done)
+        if out and low <= out[-1][1] + 1 and "\n" not in text[out[-1][1] : low]:
+            out[-1][1] = max(out[-1][1], high)
         else:
-            words = text[max(at, start - 40) : start].split()
-            before = words[-1].lower().strip("\"':=,.!") if words else ""
-            out.append((start, end, before))
-        upto = at = end
-    return out
+            out.append([max(low, out[-1][1] if out else 0), high])
+    pieces = []
+    for a, b in out:
+        tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
+        for k in range(0, len(tokens), PIECE):
+            own = tokens[k : k + PIECE]
+            whole = tokens[max(0, k - MARGIN) : k + PIECE + MARGIN]
+            pieces.append((whole[0][0], whole[-1][1], cue(text, whole[0][0]), own[0][0], own[-1][1]))
+    return pieces
+
+
+def token_class(token: str) -> str:
+    """One letter for what a token is made of."""
+    if "@" in token:
+        return "A"
+    bare = token.strip("\"'.,;:!?=#$%&*")
+    if AT_WORD.fullmatch(bare):
+        return "T"
+    if DOT_WORD.fullmatch(bare) or token == ".":
+        return "O"
+    digits = any(map(str.isdigit, bare))
+    letters = any(map(str.isalpha, bare))
+    if letters and TRIGGER.search(bare) and not digits:
+        return "L"
+    inner = "." in bare
+    return ("N" if inner else "X") if letters and digits else "D" if digits else ("I" if inner else "W") if letters else "P"
 
 
 class Island:
@@ -115,12 +180,22 @@ class Island:
     def __init__(self, text: str, before: str):
         self.text, self.before = text, before
         self.tokens = [m.span() for m in TOKEN.finditer(text)]
+        marks = {m.start() for m in TRIGGER.finditer(text)}
+        hot, at = [], sorted(marks)
+        for a, b in self.tokens:
+            hot.append(any(a <= m < b for m in at[bisect_left(at, a) : bisect_left(at, a) + 1]))
+        self.classes = ["^", *(token_class(text[a:b]) if b - a <= 320 else "P" for a, b in self.tokens), "$"]
         self.segments: dict[int, list[tuple[int, tuple[int, int], list[str]]]] = defaultdict(list)
         for i in range(len(self.tokens)):
             for j in range(i + 1, min(i + MOST_TOKENS, len(self.tokens)) + 1):
-                span = self.trim(self.tokens[i][0], self.tokens[j - 1][1])
+                span = any(hot[i:j]) and self.trim(self.tokens[i][0], self.tokens[j - 1][1])
                 if span and span[1] - span[0] <= 320:
-                    self.segments[j].append((i, span, self.features(span, j - i, i == 0)))
+                    self.segments[j].append((i, span, self.features(span, i, j)))
+
+    @cached_property
+    def named(self) -> list[tuple]:
+        """(i, j, span, features, names of their weights for each kind) of all candidates."""
+        return [(i, j, span, f, [[f"{x}|{k}" for x in f] for k in range(len(KINDS))]) for j, own in self.segments.items() for i, span, f in own]
 
     def trim(self, a: int, b: int) -> tuple[int, int] | None:
         """The span without punctuation around it; a plus or bracket before a digit stays."""
@@ -131,35 +206,48 @@ class Island:
             b -= 1
         return (a, b) if a < b else None
 
-    def features(self, span: tuple[int, int], n_tokens: int, first: bool) -> list[str]:
+    def features(self, span: tuple[int, int], i: int, j: int) -> list[str]:
         s = self.text[span[0] : span[1]]
         groups = DIGITS.findall(s)
         n = sum(map(len, groups))
         letters = sum(map(str.isalpha, s))
-        parts = s.split(".")
+        kinds = self.classes[i + 1 : j + 1]
+        last = re.search(r"[A-Za-z]*$", s)[0]
+        before = cue(self.text, span[0]) if i else self.before
         out = [
             "bias",
-            f"tokens={n_tokens}",
+            f"tokens={j - i}",
             f"digits={n if n < 20 else 'many'}",
             f"groups={'-'.join(str(len(g)) for g in groups) if len(groups) <= 6 else 'many'}",
+            f"count={min(len(groups), 6)}",
             f"letters={'none' if not letters else 'some' if letters < len(s) / 2 else 'most'}",
             f"dots={min(s.count('.'), 4)}",
             f"dashes={min(s.count('-'), 4)}",
             f"plus={s[0] == '+'}",
             f"bracket={'(' in s and ')' in s}",
-            f"at={min(s.count('@'), 2)}",
-            f"address={bool(re.fullmatch(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', s))}",
-            f"octets={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}",
+            f"marks={min(s.count('@'), 2)},{min(len(AT_WORD.findall(s)), 2)},{min(len(DOT_WORD.findall(s)), 4)}",
+            f"between={'|'.join(sorted(set(BETWEEN.findall(s)))[:3])[:12]}",
+            f"end={'none' if not last else 'short' if len(last) <= 6 and last.isascii() else 'long'}",
+            f"edges={kinds[0]}{kinds[-1]}",
+            f"inside={''.join(sorted(set(kinds)))}",
+            f"words={min(kinds.count('W'), 4)}",
+            f"left={self.classes[i]}{kinds[0]}",
+            f"right={kinds[-1]}{self.classes[j + 1]}",
             f"check={luhn(only_digits(s)) if 12 <= n <= 19 and not letters else 'no'}",
             f"other={bool(re.search('[^A-Za-z0-9 .()+@_%-]', s))}",
         ]
-        if first and self.before:
-            out.append(f"before={self.before[:12]}")
+        if before in CUES:
+            out.append(f"before={before}")
         return out
 
     def shape(self) -> tuple:
         """Equal shapes have equal features, and so equal results."""
-        return tuple((j, i, span, tuple(f)) for j, own in sorted(self.segments.items()) for i, span, f in own)
+        return tuple((j, i, tuple(f)) for j, own in sorted(self.segments.items()) for i, _, f in own)
+
+    def numbered(self, spans: list[tuple[int, int, int]]) -> tuple[tuple[int, int, int], ...]:
+        """(i, j, kind) of the spans that are candidates; of several of one span the shortest."""
+        at = {span: (i, j) for j, own in sorted(self.segments.items(), reverse=True) for i, span, _ in own}
+        return tuple((*at[a, b], k) for a, k, b in sorted(spans) if (a, b) in at)
 
 
 def log_add(values: list[float]) -> float:
@@ -176,10 +264,9 @@ class Model:
     def lattice(self, island: Island) -> list[tuple[int, int, int, float, tuple, list[str]]]:
         """Segments (i, j, kind, score, span, features)."""
         out = [(k, k + 1, -1, 0.0, None, []) for k in range(len(island.tokens))]
-        for j, own in island.segments.items():
-            for i, span, feats in own:
-                for kind in range(len(KINDS)):
-                    out.append((i, j, kind, sum(self.w.get(f"{f}|{kind}", 0.0) for f in feats), span, feats))
+        for i, j, span, feats, named in island.named:
+            for kind, names in enumerate(named):
+                out.append((i, j, kind, sum([self.w[f] for f in names if f in self.w]), span, feats))
         return sorted(out, key=lambda s: s[1])
 
     def step(self, before: int, kind: int) -> float:
@@ -235,25 +322,32 @@ class Model:
 
     def sure(self, island: Island) -> list[tuple[int, int, int]]:
         """(start, kind, end) of entities of the best segmentation with a posterior of SURE."""
+        return self.spans(island, self.sure_segments(island))
+
+    def sure_segments(self, island: Island) -> list[tuple[int, int, int]]:
+        """They as (i, j, kind)."""
         best = {s[:3] for s in self.best(island)}
-        return sorted((s[4][0], s[2], s[4][1]) for s, p in self.posteriors(island) if s[:3] in best and p >= SURE) if best else []
+        return [s[:3] for s, p in self.posteriors(island) if s[:3] in best and p >= SURE] if best else []
+
+    @staticmethod
+    def spans(island: Island, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        at = {(i, j): span for j, own in island.segments.items() for i, span, _ in own}
+        return sorted((at[i, j][0], k, at[i, j][1]) for i, j, k in found)
 
     def fit(self, rows: list[tuple[Island, list[tuple[int, int, int]], int]]) -> "Model":
         """Stochastic gradient ascent on the likelihood of the labelled spans, with their counts; rows of one shape count together."""
         cases: dict[tuple, list] = {}
         for island, gold, times in rows:
-            cases.setdefault((island.shape(), tuple(gold)), [island, gold, 0])[2] += times
+            cases.setdefault((island.shape(), island.numbered(gold)), [island, 0])[1] += times
+        cases_in_order = [(island, set(key[1]), times) for key, (island, times) in cases.items()]
         for epoch in range(EPOCHS):
             rate = RATE / (1 + epoch / 4)
-            for island, gold, times in cases.values():
-                want = {(a, k, b) for a, k, b in gold}
+            random.Random(epoch).shuffle(cases_in_order)
+            for island, want, times in cases_in_order:
                 move: Counter = Counter()
-                taken, segments = [], self.posteriors(island)
-                for s, p in segments:
-                    hit = s[2] >= 0 and (s[4][0], s[2], s[4][1]) in want and not any(t[0] < s[1] and s[0] < t[1] for t in taken)
-                    if hit:
-                        taken.append(s)
-                    if s[2] >= 0 and (hit or p > 1e-4):
+                for s, p in self.posteriors(island):
+                    hit = s[:3] in want
+                    if s[2] >= 0 and (hit or p > 1e-3):
                         for f in s[5]:
                             move[f"{f}|{s[2]}"] += hit - p
                 weight = rate * min(3.0, 1 + math.log(times))
@@ -274,10 +368,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
         for value in batch.column(text).to_pylist():
             value = value or ""
             base.append([dict(zip(("start", "kind", "end"), s)) for s in base_spans(value)])
-            found.append([{"at": a, "text": value[a:b], "before": w} for a, b, w in islands(value)])
+            found.append([{"at": a, "text": value[a:b], "before": w, "own": x, "upto": y} for a, b, w, x, y in islands(value)])
         return {"base": base, "islands": found}
 
-    return map_columns(docs.select(*keep, text), run, keep, f"base {SPAN}, islands array<struct<at:bigint,text:string,before:string>>")
+    return map_columns(docs.select(*keep, text), run, keep, f"base {SPAN}, islands array<struct<at:bigint,text:string,before:string,own:bigint,upto:bigint>>")
 
 
 def sampled(scanned: DataFrame, sample: int = SAMPLE) -> list[Row]:
@@ -291,8 +385,14 @@ def sampled(scanned: DataFrame, sample: int = SAMPLE) -> list[Row]:
 
 
 def fit(scanned: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` different islands, labelled by the base patterns."""
-    cases = [(Island(r["text"], r["before"]), [(s["start"], s["kind"], s["end"]) for s in r["own"]], r["times"]) for r in sampled(scanned, sample)]
+    """A model of at most ``sample`` different islands, labelled by the base patterns, and variants of some."""
+    cases, varied = [], 0
+    for r in sampled(scanned, sample):
+        spans = [(s["start"], s["kind"], s["end"]) for s in r["own"] if s["end"] <= len(r["text"])]
+        cases.append((Island(r["text"], r["before"]), spans, r["times"]))
+        if spans and varied < VARIED:
+            varied += 1
+            cases += [(Island(t, r["before"]), own, 1) for t, own in disguise.variants(r["text"], spans, TIMES, base_spans)]
     return Model().fit(cases)
 
 
@@ -309,11 +409,12 @@ def decode(scanned: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
                 island = Island(part["text"], part["before"])
                 key = island.shape()
                 if key not in known:
-                    known[key] = own.sure(island)
-                for a, k, b in known[key]:
+                    known[key] = own.sure_segments(island)
+                for a, k, b in own.spans(island, known[key]):
                     a, b = a + part["at"], b + part["at"]
-                    if not any(x < b and a < y for x, _, y in taken):
+                    if part["own"] <= a < part["upto"] and not any(x < b and a < y for x, _, y in taken):
                         spans.append((a, k, b))
+                        taken.append((a, k, b))
             out.append([dict(zip(("start", "kind", "end"), s)) for s in sorted(spans)])
         return {"spans": out}
 
