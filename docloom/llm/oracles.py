@@ -115,4 +115,32 @@ base as (
 select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and lost_chars <= 0.3e0 * word_chars as kept from base
 """
 
-ORACLES = {"op5_source_mixing": MIXING, "op6_warc": WARC, "op7_secret_scan": SECRETS, "op9_ngram_jaccard": JACCARD, "op10_quality_rules": QUALITY}
+#: Cuts at code points, forms by draws; the text is rebuilt from the output's own marks.
+INFILL = """
+with seeded as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (
+  select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as h1, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as h2,
+         cast('0x' || substr(h, 17, 8) as bigint) % 100 as h3, cast('0x' || substr(h, 25, 8) as bigint) % 100 as h4 from seeded),
+formed as (
+  select *, least(h1, h2) as a, greatest(h1, h2) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain' when h4 < 20 then 'spm' else 'psm' end as form from drawn),
+parts as (select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from formed),
+outputs as (
+  select *, case form when 'plain' then t when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end as output from parts),
+marks as (select *, strpos(output, '<P>') as p, strpos(output, '<S>') as s, strpos(output, '<M>') as m from outputs)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars, sha256(output) as output_sha256,
+       sha256(case form when 'plain' then output
+         when 'spm' then substring(output, p + 3, m - p - 3) || substring(output, m + 3) || substring(output, s + 3, p - s - 3)
+         else substring(output, p + 3, s - p - 3) || substring(output, m + 3) || substring(output, s + 3, m - s - 3) end) as restored_sha256
+from marks
+"""
+
+ORACLES = {
+    "op5_source_mixing": MIXING,
+    "op6_warc": WARC,
+    "op7_secret_scan": SECRETS,
+    "op9_ngram_jaccard": JACCARD,
+    "op10_quality_rules": QUALITY,
+    "op11_fill_in_middle": INFILL,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, warc
+from docloom.llm import bpe, infill, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, warc
 from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
@@ -122,3 +122,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at seeded code points and put into its form, with digests of the output and of the text restored from it."""
+    return infill.fill_in_middle(documents(spark, sf_dir), texts=False)
