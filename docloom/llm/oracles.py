@@ -136,6 +136,38 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
 from marks
 """
 
+#: Whole prefixes compared as texts; a subtree's nodes are those whose smallest member passes through its top.
+TRIE = f"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+placed as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text)) as place from turns),
+sizes as (select conv_id, count(*) as own, cast(conv_id as varchar) as name, conv_id - conv_id % 20 as stem from placed group by conv_id),
+draws as (
+  select *, xor(4294967295, list_reduce([4294967295] || flatten([[(ord(substr(name, cast(i as bigint), 1)) >> k) & 1 for k in range(8)] for i in range(1, length(name) + 1)]),
+    lambda c, b: xor(c >> 1, case when c & 1 <> b then 3988292384 else 0 end))) % 4 as h from sizes),
+known as (select d.*, least(d.h, coalesce(s.own, 0)) as taken from draws d left join sizes s on s.conv_id = d.stem),
+rebuilt as (
+  select k.conv_id, p.place as depth, role, text from known k join placed p on p.conv_id = k.stem and p.place <= k.taken
+  union all select k.conv_id, p.place - k.h + k.taken, role, text from known k join placed p on p.conv_id = k.conv_id and p.place > k.h),
+paths as (
+  select conv_id, depth, cast(len(regexp_extract_all(text, '{WORD}')) as bigint) as words,
+         string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by depth) as path from rebuilt
+  union all select conv_id, 0, 0, '' from known),
+tops as (select depth, path, min(conv_id) as top, count(*) as n_convs, any_value(words) as words from paths group by depth, path),
+members as (select p.conv_id, p.depth, t.top from paths p join tops t on t.depth = p.depth and t.path = p.path),
+parents as (select t.*, m.top as parent from tops t left join members m on m.conv_id = t.top and m.depth = t.depth - 1),
+children as (select parent, depth - 1 as depth, count(*) as n from parents where depth > 0 group by parent, depth),
+nodes as (select p.*, coalesce(c.n, 0) as n_children from parents p left join children c on c.parent = p.top and c.depth = p.depth),
+subtrees as (
+  select m.top, m.depth, count(*) filter (n.n_children = 0) as n_leaves, sum((n.n_convs - 1) * n.words) as saved from nodes n join members m on m.conv_id = n.top and m.depth <= n.depth group by m.top, m.depth),
+ends as (
+  select top, depth, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from (
+    select *, max(depth) over (partition by conv_id) as last from members) where depth = last group by top, depth)
+select n.top as conv_id, cast(n.depth as bigint) as depth, n.parent as parent_conv_id, n.n_convs, n.n_children, s.n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join subtrees s on s.top = n.top and s.depth = n.depth left join ends e on e.top = n.top and e.depth = n.depth
+"""
+
 ORACLES = {
     "op5_source_mixing": MIXING,
     "op6_warc": WARC,
@@ -143,4 +175,5 @@ ORACLES = {
     "op9_ngram_jaccard": JACCARD,
     "op10_quality_rules": QUALITY,
     "op11_fill_in_middle": INFILL,
+    "op12_conversation_trie": TRIE,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, infill, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, warc
+from docloom.llm import bpe, infill, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, trie, warc
 from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
@@ -128,3 +128,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut at seeded code points and put into its form, with digests of the output and of the text restored from it."""
     return infill.fill_in_middle(documents(spark, sf_dir), texts=False)
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, rebuilt on common stems."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return trie.trie(*trie.regrown(staged(trie.numbered(conversations), "trie-numbered")))
