@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm import bpe, infill, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, trie, warc
+from docloom.llm import bpe, infill, jaccard, mixing, oracles, pii, quality, secrets, sentences, suffixes, telephony, toxicity, trie, warc
 from docloom.llm.store import new_dir, staged
 
 QUERIES = {}
@@ -135,3 +135,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the trie of all conversations, rebuilt on common stems."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return trie.trie(*trie.regrown(staged(trie.numbered(conversations), "trie-numbered")))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the compression distances of its windows, by a model of the labels that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
