@@ -69,6 +69,23 @@ select doc_id, line_no, cast(row_number() over (partition by doc_id order by lin
        concat('note-', row_number() over (partition by doc_id order by line_no)) as pair_id,
        concat('See supra note ', (line_no % 6) + 1, ', ', line) as body
 from doc_lines where length(line) % 3 = 0""",
+    #: Lines as printed: three note lines end each page of twelve. Note numbers start again after every 12 notes in a fifth
+    #: of the documents; some labels are lost, some hold letters that look like digits.
+    "printed": """
+select doc_id, line_no as line, page, zone, case when zone = 'note' then n end as number,
+       case when zone = 'body' or (doc_id * 7 + line_no) % 11 = 0 then line
+            when (doc_id + line_no) % 13 = 0 then concat(translate(cast(n as varchar(9)), '10', 'lO'), ' ', line)
+            else concat(n, ' ', line) end as text
+from (select doc_id, line_no, line, page, zone, case when doc_id % 5 = 0 then (k - 1) % 12 + 1 else k end as n
+      from (select doc_id, line_no, line, cast(floor(line_no / 12) as bigint) + 1 as page, case when line_no % 12 >= 9 then 'note' else 'body' end as zone,
+                   cast(floor(line_no / 12) * 3 + greatest(line_no % 12 - 8, 1) as bigint) as k from doc_lines) l) p""",
+    #: References in the body of the printed lines: every third body line has that of a note of its page, some are lost, and
+    #: some lines repeat one of the page before.
+    "printed_refs": """
+select doc_id, line, page, value, length(text) as at, 1.5e0 + (line % 2) * 0.5e0 as score, case when line % 4 = 0 then 'sup' else 'plain' end as form, line % 12 + 1 as line_order
+from (select doc_id, line, page, text, case when doc_id % 5 = 0 then (k - 1) % 12 + 1 else k end as value
+      from (select doc_id, line, page, text, cast(case when line % 12 in (2, 5, 8) then floor(line / 12) * 3 + (line % 12 + 1) / 3 else floor(line / 12) * 3 - 1 end as bigint) as k
+            from printed where zone = 'body' and (line % 12 in (2, 5, 8) and (doc_id * 3 + line) % 17 <> 0 or line % 12 = 4 and (doc_id + line) % 5 = 0 and page > 1)) r) v""",
     "claims": """
 select doc_id, case when line_no % 2 = 0 then 'section' else 'paragraph' end as kind,
        concat(case when line_no % 2 = 0 then 'sec' else 'par' end, line_no + 1) as label, line_no,

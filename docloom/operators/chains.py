@@ -33,7 +33,8 @@ def numeric_chain(rows: list[tuple[int, int, float, int, bool]], rooted: bool) -
     A rooted chain starts at 1 and goes up by one. A backbone may skip values, at a
     penalty that depends on the gap and on whether the page changes; a start above 1
     costs a quarter for each value missed unless it is supported. Rows of one position
-    don't follow each other. Of equal chains that which ends first is taken.
+    don't follow each other. Of equal rooted chains that which ends first is taken; of equal
+    backbones that which ends at the earliest position, and there with the greatest value.
 
     For each different value, two rows of a table hold the best chain that ends with it: on
     earlier pages, and on this page. A row looks at the slice of values within reach at once.
@@ -75,7 +76,11 @@ def numeric_chain(rows: list[tuple[int, int, float, int, bool]], rooted: bool) -
         here += together
     if not np.isfinite(top).any():
         return [], 0.0
-    last = next(i for i in order if top[i] >= top.max() - EPSILON)
+    if rooted:
+        last = next(i for i in order if top[i] >= top.max() - EPSILON)
+    else:
+        ends = [i for i in order if top[i] == top.max()]
+        last = [i for i in ends if position[i] == position[ends[0]]][-1]
     chain = [last]
     while before[chain[-1]] >= 0:
         chain.append(int(before[chain[-1]]))
