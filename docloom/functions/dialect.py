@@ -79,6 +79,25 @@ select doc_id, line_no as line, page, zone, case when zone = 'note' then n end a
 from (select doc_id, line_no, line, page, zone, case when doc_id % 5 = 0 then (k - 1) % 12 + 1 else k end as n
       from (select doc_id, line_no, line, cast(floor(line_no / 12) as bigint) + 1 as page, case when line_no % 12 >= 9 then 'note' else 'body' end as zone,
                    cast(floor(line_no / 12) * 3 + greatest(line_no % 12 - 8, 1) as bigint) as k from doc_lines) l) p""",
+    #: Section maps: dotted labels that count as numbers in two of three documents and as decimals in the third, whole numbers,
+    #: schedules, a preamble, some labels out of their order; named in the order of the lines.
+    "section_maps": """
+select doc_id, line_no as index,
+       case when line_no = 5 then 'Preamble' when line_no % 7 = 6 then concat('Schedule ', line_no) when line_no % 9 = 4 then cast(100000 - line_no as varchar(9))
+            when line_no % 11 = 3 then concat('9', line_no, '.1')
+            when doc_id % 3 = 0 then concat(cast(floor(line_no / 12) as bigint) + 1, '.', @part('1,11,12,2,21,22,3,31,32,4,41,42', ',', cast(line_no % 12 + 1 as int)))
+            else concat(cast(floor(line_no / 12) as bigint) + 1, '.', line_no % 12 + 1) end as label
+from doc_lines""",
+    #: Headings of an outline: parts in Roman numerals, sections in letters, points in numbers or dotted numbers; now and then
+    #: a number is left out or said again, and some headings have no mark.
+    "outlined": """
+select doc_id, line_no as position, case when (doc_id + line_no) % 19 = 0 then 'caps' else 'enumerator' end as kind,
+       case when line_no % 12 = 0 then @part('I,II,III,IV,V,VI,VII,VIII,IX,X,XI,XII,XIII,XIV,XV', ',', cast(floor(line_no / 12) % 15 + 1 as int))
+            when line_no % 4 = 0 then @part('A,B,C,D,E,F,G,H,I', ',', cast(floor(line_no / 4) % (3 + doc_id % 7) + 1 as int))
+            when doc_id % 3 = 0 then concat(cast(floor(line_no / 4) as bigint) % 3 + 1, '.', line_no % 4 + jump)
+            when doc_id % 3 = 1 then cast(line_no % 4 + jump as varchar(9)) else cast(line_no + jump as varchar(9)) end as mark,
+       case when line_no % 4 = 0 then 'dot' when doc_id % 2 = 0 then 'paren' else 'dot' end as punct
+from (select doc_id, line_no, case when (doc_id * 5 + line_no) % 13 = 0 then 2 when (doc_id * 3 + line_no) % 17 = 0 then -1 else 0 end as jump from doc_lines) o""",
     #: References in the body of the printed lines: every third body line has that of a note of its page, some are lost, and
     #: some lines repeat one of the page before.
     "printed_refs": """
@@ -152,10 +171,10 @@ def render(text: str, duck: bool) -> str:
     views = [(n, VIEWS[n] if isinstance(VIEWS[n], str) else VIEWS[n][duck]) for n in _needed(text)]
     own = text.strip()
     parts = [f"{n} as ({body.strip()})" for n, body in views]
-    if m := re.match(r"with\s+(?!recursive)", own):
+    if m := re.match(r"with\s+(recursive\s+)?", own):
         own = own[m.end() :]
         head = ",\n".join(parts)
-        whole = f"with {head},\n{own}" if parts else text
+        whole = f"with {m[1] or ''}{head},\n{own}" if parts else text
     else:
         whole = (f"with {',\n'.join(parts)}\n" if parts else "") + own
     return expand(whole, duck)

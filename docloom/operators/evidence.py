@@ -167,8 +167,8 @@ def numeric_runs(markers: DataFrame) -> DataFrame:
 
     markers(doc_id, position, number, style, n_chars), positions distinct within a style;
     n_chars is the document's length. A member ends where the next marker of any style
-    starts. Runs are numbered by style, then by where they begin; (doc_id, run_id, ordinal,
-    position, end_at, number, rooted, consecutive).
+    starts. Runs are numbered by where they begin, then by where they end, whatever their
+    style; (doc_id, run_id, ordinal, position, end_at, number, rooted, consecutive).
     """
 
     def run(held: dict) -> dict:
@@ -191,9 +191,10 @@ def numeric_runs(markers: DataFrame) -> DataFrame:
     rows = rows.withColumn("ordinal", F.row_number().over(along)).withColumn("before", F.lag("number").over(along))
     rows = rows.withColumn("rooted", F.min(F.when(F.col("ordinal") == 1, F.col("number"))).over(one) == 1)
     rows = rows.withColumn("consecutive", F.min(F.coalesce(F.col("number") == F.col("before") + 1, F.lit(True))).over(one))
-    runs = rows.where("ordinal = 1").select("doc_id", "style", "scope", F.row_number().over(Window.partitionBy("doc_id").orderBy("style", "scope")).alias("run"))
-    rows = rows.join(runs, ["doc_id", "style", "scope"]).join(lengths, "doc_id")
+    rows = rows.join(lengths, "doc_id").withColumn("end_at", F.coalesce("next_at", "n_chars"))
+    spans = rows.groupBy("doc_id", "style", "scope").agg(F.min("position").alias("starts"), F.max("end_at").alias("ends"))
+    by_place = Window.partitionBy("doc_id").orderBy("starts", "ends", "style", "scope")
+    rows = rows.join(spans.select("doc_id", "style", "scope", F.row_number().over(by_place).alias("run")), ["doc_id", "style", "scope"])
     return rows.select(
-        "doc_id", F.format_string("numeric-%06d", "run").alias("run_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "position",
-        F.coalesce("next_at", "n_chars").alias("end_at"), "number", "rooted", "consecutive",
+        "doc_id", F.format_string("numeric-%06d", "run").alias("run_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "position", "end_at", "number", "rooted", "consecutive",
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import dialect
+from docloom.operators import labels
 from docloom.plans.registry import query, sql
 
 # AGG-01: the numbered paragraphs of each document, with the missing ones.
@@ -136,8 +137,36 @@ from (select doc_id, page_number, source_index, y0, (x1 - x0) * (y1 - y0) * (sou
 """,
 )
 
-# AGG-21: whole numbers first, then by map order.
-sql("agg_ordered_sections", "select doc_id, key_text, cast(row_number() over (partition by doc_id order by case when @like(key_text, '^[0-9]+$') then 0 else 1 end, @int(key_text), line_no) as bigint) as place from (select doc_id, line_no, case when line_no % 3 = 0 then concat('s', line_no) else cast(97 - line_no as varchar(9)) end as key_text from doc_lines) k")
+# AGG-21: labels in the order of the law. The oracle takes the labels' numbers apart: two at most, no zeros, no letters.
+ENTRIES = "select doc_id, index, label from section_maps"
+TURNS = """
+with entry as (select doc_id, index, label, @like(label, '^[0-9]+$') as whole, @like(label, '^[0-9.]+$') as numbered from section_maps),
+mapped as (select *, row_number() over (partition by doc_id order by not whole, case when whole then cast(label as bigint) end, index) as place from entry),
+numbers as (
+  select *, case when numbered then cast(split_part(label, '.', 1) as bigint) end as a, case when numbered and not whole then cast(split_part(label, '.', 2) as bigint) end as b,
+         case when numbered and not whole then cast('0.' || split_part(label, '.', 2) as decimal(10, 8)) end as f from mapped),
+pairs as (
+  select doc_id, a * 1000 + b < lag(a * 1000 + b) over w as c_turn, a < lag(a) over w or a = lag(a) over w and f < lag(f) over w as f_turn from numbers where numbered and not whole window w as (partition by doc_id order by place)),
+turns as (
+  select n.doc_id, coalesce(c, 0) as component_turns, coalesce(t, 0) as fraction_turns, coalesce(t < c, false) as fraction from (select distinct doc_id from entry) n
+  left join (select doc_id, count(*) filter (c_turn) as c, count(*) filter (f_turn) as t from pairs group by doc_id) p on p.doc_id = n.doc_id)
+"""
+
+
+@query("agg_ordered_sections", TURNS + """
+select n.doc_id, index, label, row_number() over (partition by n.doc_id order by case when label = 'Preamble' then 0 when numbered then 1 else 2 end,
+       case when numbered then a end, case when numbered then b is not null end, case when numbered then case when fraction then f else b end end, place) as place
+from numbers n join turns t on t.doc_id = n.doc_id""")
+def ordered_sections(spark, sf_dir):
+    """AGG-21: section maps in the order of the law."""
+    return labels.ordered_sections(dialect.run(spark, sf_dir, ENTRIES))
+
+
+@query("seq_label_order", TURNS + "select * from turns")
+def label_order(spark, sf_dir):
+    """SEQ-11: how the dotted labels of each section map count."""
+    return labels.dotted_order(labels.map_order(dialect.run(spark, sf_dir, ENTRIES)))
+
 
 # Measures of recognition quality.
 sql("evl_edit_distance", "select doc_id, line_no, cast(@edit(line, after) as bigint) as distance, cast(length(line) as bigint) as n_gold from (select doc_id, line_no, line, lead(line) over (partition by doc_id order by line_no) as after from (select doc_id, line_no, @sub(line, '[^ -~]', '') as line from doc_lines) a) l where after is not null")

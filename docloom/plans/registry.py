@@ -30,4 +30,4 @@ def sql(name: str, text: str) -> None:
     query(name, text)(lambda spark, sf_dir: dialect.run(spark, sf_dir, text))
 
 
-from docloom.plans import aggregates, evidence, geometry, joins, kernels, lookup, pairing, sequences, sources, text, validation  # noqa: E402,F401
+from docloom.plans import aggregates, evidence, geometry, headings, joins, kernels, lookup, pairing, sequences, sources, text, validation  # noqa: E402,F401

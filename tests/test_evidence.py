@@ -100,8 +100,8 @@ def test_numeric_runs(spark):
     for r in evidence.numeric_runs(df).orderBy("run_id", "ordinal").collect():
         runs.setdefault((r.run_id, r.rooted, r.consecutive), []).append((r.position, r.end_at, r.number))
     assert runs == {
-        ("numeric-000001", False, True): [(15, 20, 5), (25, 30, 6)],
-        ("numeric-000002", True, True): [(0, 10, 1), (10, 15, 2), (30, 40, 3)],
+        ("numeric-000001", True, True): [(0, 10, 1), (10, 15, 2), (30, 40, 3)],
+        ("numeric-000002", False, True): [(15, 20, 5), (25, 30, 6)],
         ("numeric-000003", False, True): [(20, 25, 40), (40, 50, 41)],
     }
     assert chains.monotone_scopes([1, 2, 40, 3, 41], 8) == [0, 0, 1, 0, 1]
