@@ -1,11 +1,11 @@
-"""Queries over heading ladders."""
+"""Queries over heading ladders and the spines of statutes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from docloom.functions import dialect
-from docloom.operators import headings
+from docloom.operators import headings, spine
 from docloom.plans.registry import query
 
 #: The ladder in DuckDB: one step of a recursive query goes one heading on in all documents, with the open counters as a list.
@@ -88,3 +88,15 @@ def enumerator_readings(spark, sf_dir):
     marks = dialect.run(spark, sf_dir, "select doc_id, position, mark, punct from outlined")
     pair = lambda r: F.concat_ws("=", r["family"], r["value"].cast("string"))
     return marks.select("doc_id", "position", F.array_join(F.transform(headings.readings(F.col("mark"), F.col("punct")), pair), " ").alias("readings"))
+
+
+@query("seq_statute_spine")
+def statute_spine(spark, sf_dir):
+    """SEQ-10: the sections of each statute."""
+    return spine.statute_spine(dialect.run(spark, sf_dir, "select doc_id, text from statutes"))
+
+
+@query("seq_hyphen_spine")
+def hyphen_spine(spark, sf_dir):
+    """SEQ-10 with scopes of hyphened labels."""
+    return spine.statute_spine(dialect.run(spark, sf_dir, "select doc_id, text from statutes"), allow_hyphen=True)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "docloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,3 +37,19 @@ def get_spark(app: str = "docloom", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: its rows are written to the shared checkpoint folder and read from there.
+
+    The folder is the one that spark.checkpoint.dir names; only where a local session has none, one of this machine.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        place = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            place = "file://" + tempfile.gettempdir() + "/docloom-checkpoints"
+        context.setCheckpointDir(place)
+    return df.checkpoint()
