@@ -6,7 +6,7 @@ from collections import Counter
 from functools import cmp_to_key
 
 from docloom.operators import spine
-from tests.test_labels import compare, parts
+from test_labels import compare, parts
 
 BODY = "This section provides for the administration of the enactment in force across the territory."
 
