@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.arrow import map_columns
 
-CACHE, LONG = 250_000, 1000
+CACHE, LONG = 120_000, 1000
 #: Rows of DuckDB's tables are bounded: pieces of one recursive query, ids of one decoding query (or one text's).
 PIECES_AT_ONCE, IDS_AT_ONCE = 20_000, 150_000
-DUCKDB = {"threads": 1, "memory_limit": "160MB", "preserve_insertion_order": False}
+DUCKDB = {"threads": 1, "memory_limit": "128MB", "preserve_insertion_order": False}
 #: Texts below this code point are split by an equal pattern of explicit ranges, for speed.
 PLAIN_BELOW = 0x250
 
