@@ -79,6 +79,13 @@ select doc_id, line_no as line, page, zone, case when zone = 'note' then n end a
 from (select doc_id, line_no, line, page, zone, case when doc_id % 5 = 0 then (k - 1) % 12 + 1 else k end as n
       from (select doc_id, line_no, line, cast(floor(line_no / 12) as bigint) + 1 as page, case when line_no % 12 >= 9 then 'note' else 'body' end as zone,
                    cast(floor(line_no / 12) * 3 + greatest(line_no % 12 - 8, 1) as bigint) as k from doc_lines) l) p""",
+    #: Lines with a reference in them, of eleven forms; some only look like one.
+    "cited": """
+select doc_id, line_no as line, concat(left(line, cast(floor(length(line) / 2) as int)), ' ', case line_no % 11
+         when 0 then concat('[1998] ', line_no % 5 + 1, ' SCR ', line_no) when 1 then concat('2012 SCC ', line_no + 1) when 2 then concat('RSC 1985, c C-', line_no) when 3 then concat('(1999) 12:3 Osgoode Hall LJ ', line_no)
+         when 4 then concat('at pp. ', line_no, ', 13-15') when 5 then concat('(1990) 3 D.L.R. ', line_no) when 6 then concat('class ', line_no) when 7 then concat('supra note ', line_no) when 8 then 'Smith v. Jones'
+         when 9 then concat(line_no, ' Alta L Rev ', line_no + 7) else '' end, ' ', line) as text
+from doc_lines""",
     #: Statutes: sections in bare numbers, numbers with a dot, dotted numbers or Markdown headings by document, with points
     #: in other families between them, some sections left out and some said twice.
     "statutes": """

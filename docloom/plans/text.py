@@ -1,6 +1,9 @@
 """Scalar text functions over derived lines."""
 
-from docloom.plans.registry import sql
+from pyspark.sql import functions as F
+
+from docloom.functions import dialect, legal
+from docloom.plans.registry import query, sql
 
 # TXT-01: where each line starts, in scalars and in UTF-16 units.
 sql(
@@ -185,3 +188,35 @@ from (select doc_id, line_no, c, lag(c) over (partition by doc_id order by line_
 where c <> 0 and (before is null or before <> c) group by doc_id
 """,
 )
+
+
+# TXT-17 to TXT-19: signs of references in lines.
+CITED = "select doc_id, line, text from cited"
+
+
+# Letters beyond ASCII are letters for the bounds of words: the oracle, whose \\b knows ASCII only, sees a z for each.
+ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g')"
+
+
+@query("txt_legal_cue", f"select doc_id, line, regexp_matches({ASCII}, '{legal.CUE.replace('(?U', '(?')}') as has_cue, regexp_matches({ASCII}, '{legal.CONTINUATION.replace('(?U', '(?')}') as continues from ({CITED}) c")
+def legal_cue(spark, sf_dir):
+    """TXT-19, whole: cues of references, and lines that go on with one."""
+    return dialect.run(spark, sf_dir, CITED).select("doc_id", "line", legal.has_cue(F.col("text")).alias("has_cue"), legal.continues(F.col("text")).alias("continues"))
+
+
+@query("txt_protected_spans")
+def protected_spans(spark, sf_dir):
+    """TXT-18: spans of references by pattern, in code points."""
+    return legal.protected_spans(dialect.run(spark, sf_dir, CITED))
+
+
+@query("txt_protected_ranges")
+def protected_ranges(spark, sf_dir):
+    """TXT-18: what the spans of a line cover together."""
+    return legal.merged_spans(legal.protected_spans(dialect.run(spark, sf_dir, CITED)))
+
+
+@query("txt_citation_signal")
+def citation_signal(spark, sf_dir):
+    """TXT-17: lines with a sign of a reference; reporters beyond the patterns are a parameter."""
+    return dialect.run(spark, sf_dir, CITED).select("doc_id", "line", legal.has_signal(F.col("text"), ("Alta L Rev", "Osgoode Hall LJ")).alias("has_signal"))
