@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import dialect
-from docloom.operators import headings, spine
+from docloom.operators import headings, instruments, spine
 from docloom.plans.registry import query
 
 #: The ladder in DuckDB: one step of a recursive query goes one heading on in all documents, with the open counters as a list.
@@ -100,3 +100,9 @@ def statute_spine(spark, sf_dir):
 def hyphen_spine(spark, sf_dir):
     """SEQ-10 with scopes of hyphened labels."""
     return spine.statute_spine(dialect.run(spark, sf_dir, "select doc_id, text from statutes"), allow_hyphen=True)
+
+
+@query("seq_instrument_nodes")
+def instrument_nodes(spark, sf_dir):
+    """SEQ-14: parts, sections and points of each statute, with their ranges."""
+    return instruments.instrument_nodes(dialect.run(spark, sf_dir, "select doc_id, text from statutes"))
