@@ -87,13 +87,14 @@ select doc_id, line_no as line, concat(left(line, cast(floor(length(line) / 2) a
          when 9 then concat(line_no, ' Alta L Rev ', line_no + 7) else '' end, ' ', line) as text
 from doc_lines""",
     #: Statutes: sections in bare numbers, numbers with a dot, dotted numbers or Markdown headings by document, with points
-    #: in other families between them, some sections left out and some said twice.
+    #: in other families and letters between them, parts over them, some sections left out and some said twice.
     "statutes": """
 select doc_id, @join(line, chr(10), line_no) as text
 from (select doc_id, line_no, case when (doc_id + line_no) % 13 = 0 then line
              when line_no % 3 = 0 and doc_id % 4 = 0 then concat(k, ' ', line) when line_no % 3 = 0 and doc_id % 4 = 1 then concat(k, '. ', line)
              when line_no % 3 = 0 and doc_id % 4 = 2 then concat('### ', k, '.', k % 4 + 1, ' ', line) when line_no % 3 = 0 then concat(k, '.', k % 11 + 1, ' ', line)
-             when line_no % 3 = 1 and line_no % 2 = 0 then concat(k, '.', line_no % 5, '. ', line) when line_no % 3 = 1 then concat(line_no % 4 + 1, ') ', line) else line end as line
+             when line_no % 3 = 1 and line_no % 2 = 0 then concat(k, '.', line_no % 5, '. ', line) when line_no % 3 = 1 then concat(line_no % 4 + 1, ') ', line)
+             when line_no % 30 = 29 then concat('PART ', cast(floor(line_no / 30) as bigint) + 1) else concat('(', @part('a,b,c,i,ii', ',', cast(floor(line_no / 3) % 5 as int) + 1), ') ', line) end as line
       from (select doc_id, line_no, line, cast(floor(line_no / 3) as bigint) + 1 - case when (doc_id * 5 + line_no) % 23 = 0 then 1 else 0 end as k from doc_lines) l) n
 group by doc_id""",
     #: Section maps: dotted labels that count as numbers in two of three documents and as decimals in the third, whole numbers,
