@@ -79,6 +79,16 @@ select doc_id, line_no as line, page, zone, case when zone = 'note' then n end a
 from (select doc_id, line_no, line, page, zone, case when doc_id % 5 = 0 then (k - 1) % 12 + 1 else k end as n
       from (select doc_id, line_no, line, cast(floor(line_no / 12) as bigint) + 1 as page, case when line_no % 12 >= 9 then 'note' else 'body' end as zone,
                    cast(floor(line_no / 12) * 3 + greatest(line_no % 12 - 8, 1) as bigint) as k from doc_lines) l) p""",
+    #: Numbers beside the lines of transcripts, twenty a page: in a column, or in steps across the page; some are not numbers.
+    "transcripts": """
+select doc_id, cast(floor(line_no / 20) as bigint) as page, 30.0e0 + case when doc_id % 4 = 3 then (line_no % 20) * 9 else line_no % 3 * 4 end as x0,
+       case when doc_id % 11 = 5 then 0.0e0 else 500.0e0 end as width, case when (doc_id + line_no) % 37 = 0 then line when line_no % 5 = 2 then concat(' - ', line_no % 20 + 1, ' -') else cast(line_no % 20 + 1 as varchar(9)) end as text
+from doc_lines""",
+    #: Diagnostics of pages of five lines: one for a short page, one for some others.
+    "diagnosed": """
+select doc_id, case when chars % 17 = 3 then null else page end as page, case when chars < 200 then 'OCR_REQUIRED' when chars % 3 = 0 then 'TEXT_QUALITY_LOW' else 'FONT_MISSING' end as code,
+       case when chars % 2 = 0 then 'warning' when chars % 5 = 0 then 'error' else 'info' end as severity
+from (select doc_id, cast(floor(line_no / 5) as bigint) as page, sum(length(line)) as chars from doc_lines group by doc_id, cast(floor(line_no / 5) as bigint)) p where chars < 200 or chars % 4 = 0""",
     #: Lines with a reference in them, of eleven forms; some only look like one.
     "cited": """
 select doc_id, line_no as line, concat(left(line, cast(floor(length(line) / 2) as int)), ' ', case line_no % 11

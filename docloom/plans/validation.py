@@ -1,6 +1,8 @@
 """Constraint queries: violations are rows, not failures."""
 
-from docloom.plans.registry import sql
+from docloom.functions import dialect
+from docloom.operators import pages
+from docloom.plans.registry import query, sql
 
 # VAL-01: each kind's ranges in order must not overlap, and the text must have its stated hash.
 sql(
@@ -98,3 +100,34 @@ from (select doc_id, label, case label % 5 when 0 then 'page' when 1 then 'parag
              @left(body, cast(label % 40 as int)) as locator, line_no % 4 as context, label % 3 as occurrence from notes) r
 """,
 )
+
+
+# VAL-05 by diagnostics. The oracle counts pages in a query of their own.
+@query(
+    "val_document_status",
+    """
+with n as (select doc_id, count(*) as n_pages from (select distinct doc_id, floor(line_no / 5) as page from doc_lines) p group by doc_id),
+ocr as (select doc_id, count(*) as n_ocr from (select distinct doc_id, page from diagnosed where code = 'OCR_REQUIRED') o group by doc_id)
+select n.doc_id, case when n_ocr = n_pages then 'ocr_required' when exists (select 1 from diagnosed d where d.doc_id = n.doc_id and severity <> 'info' and code <> 'FONT_MISSING') then 'degraded' else 'ready' end as status, n_pages
+from n left join ocr on ocr.doc_id = n.doc_id""",
+)
+def document_status(spark, sf_dir):
+    """VAL-05: whether a document is ready, degraded or needs OCR."""
+    counted = dialect.run(spark, sf_dir, "select distinct doc_id, cast(floor(line_no / 5) as bigint) as page from doc_lines")
+    return pages.statuses(counted, dialect.run(spark, sf_dir, "select doc_id, page, code, severity from diagnosed"))
+
+
+# AGG-09: the oracle tries every band of every page.
+@query(
+    "agg_line_number_pages",
+    """
+with numbers as (select doc_id, page, x0 as x, width, cast(regexp_extract(text, '^\\s*-?\\s*([0-9]{1,4})\\s*-?\\s*$', 1) as int) as number from transcripts where width > 0 and regexp_matches(text, '^\\s*-?\\s*([0-9]{1,4})\\s*-?\\s*$')),
+bands as (
+  select a.doc_id, a.page, a.x, count(*) as n, count(distinct b.number) as n_numbers, count(distinct b.number) filter (b.number between 1 and 15) as low
+  from (select distinct doc_id, page, x from numbers where number <= 40) a join numbers b on b.doc_id = a.doc_id and b.page = a.page and b.number <= 40 and b.x <= a.x and a.x - b.x <= b.width * 0.03e0 group by a.doc_id, a.page, a.x),
+best as (select *, row_number() over (partition by doc_id, page order by n desc, x) as place from bands)
+select doc_id, page, n_numbers from best where place = 1 and low = 15""",
+)
+def line_number_pages(spark, sf_dir):
+    """AGG-09: pages of transcripts, by the numbers of their lines."""
+    return pages.transcript_pages(dialect.run(spark, sf_dir, "select doc_id, page, x0, width, text from transcripts"))
