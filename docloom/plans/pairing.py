@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from docloom.functions import dialect, legal
 from docloom.operators import pairing
 from docloom.plans.registry import query
+from docloom.session import cut
 
 
 def lines_of(spark, sf_dir) -> DataFrame:
@@ -31,10 +32,10 @@ def labels_of(spark, sf_dir) -> DataFrame:
 
 def completed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Members of segments, and labels: members with what fills their gaps, with page and body."""
-    members, lines = pairing.segments(labels_of(spark, sf_dir)), lines_of(spark, sf_dir)
+    members, lines = cut(pairing.segments(labels_of(spark, sf_dir))), lines_of(spark, sf_dir)
     filled = pairing.fill_gaps(members, lines).where("line is not null").select("doc_id", "segment", "value", "line", "at")
     labels = members.select(*filled.columns).unionByName(filled).join(lines.select("doc_id", "line", "page", F.col("text").alias("body")), ["doc_id", "line"])
-    return members, labels
+    return members, cut(labels)
 
 
 @query("seq_segments")
@@ -46,7 +47,7 @@ def segments(spark, sf_dir):
 @query("seq_gap_fills")
 def gap_fills(spark, sf_dir):
     """SEQ-20: each value that a sequence passes over, and the line that holds it."""
-    return pairing.fill_gaps(pairing.segments(labels_of(spark, sf_dir)), lines_of(spark, sf_dir))
+    return pairing.fill_gaps(cut(pairing.segments(labels_of(spark, sf_dir))), lines_of(spark, sf_dir))
 
 
 @query("join_label_references")
