@@ -13,17 +13,40 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 8 << 20
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` that gives freed memory back to the system when its task ends: Spark keeps workers, idle, for later tasks."""
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What this Python worker keeps from task to task of one kind; the first task of any other kind lets go of it."""
+    return _kept.setdefault(kind, {})
+
+
+def let_go(kind: str) -> None:
+    """End what tasks of other kinds have kept in this worker."""
+    for other in [k for k in _kept if k != kind]:
+        del _kept[other]
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives freed memory back to the system when its task ends: Spark keeps workers, idle, for later tasks.
+
+    What tasks of another ``kind`` have kept in the worker goes when it begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(kind)  # by reference: what is pickled by value would have a dictionary of its own
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+            trim()
 
     return run
 
@@ -45,10 +68,10 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def map_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict], keep: tuple[str, ...], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+def map_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict], keep: tuple[str, ...], schema: str, limit: int = SLICE_BYTES, kind: str = "") -> DataFrame:
     """df's columns ``keep`` and the new columns that ``run`` gives for each batch, of the same length.
 
-    A new column takes the place of a kept one of its name.
+    A new column takes the place of a kept one of its name. ``kind`` names what ``run`` keeps in the worker.
     """
     new = T.StructType.fromDDL(schema)
     keep = tuple(c for c in keep if c not in new.names)
@@ -65,4 +88,4 @@ def map_columns(df: DataFrame, run: Callable[[pa.RecordBatch], dict], keep: tupl
                 columns += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow.names])
 
-    return df.mapInArrow(tidy(work), out)
+    return df.mapInArrow(tidy(work, kind), out)

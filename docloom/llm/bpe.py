@@ -8,7 +8,7 @@ texts to the vocabulary and aggregates each text's bytes in order.
 
 Vocabularies are read from a path that is a parameter, once in each Python worker, and
 pieces that a worker has met are kept there: ``CACHE`` of them that were met last, and as
-many of before. A step of the query for pieces of more than ``LONG`` bytes contracts all
+many of before; tasks of other operators let go of all that. A step of the query for pieces of more than ``LONG`` bytes contracts all
 pairs of least rank in a piece, the leftmost first, where the new token forms no pair of a
 lower rank with any other, so that one at a time would do the same.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docloom.llm.arrow import map_columns
+from docloom.llm.arrow import kept, map_columns
 
 CACHE, LONG = 250_000, 1000
 #: Rows of DuckDB's tables are bounded: pieces of one recursive query, ids of one decoding query (or one text's).
@@ -177,11 +177,12 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [self.split(t) if t else [] for t in texts]
-        new = {p for pieces in split for p in pieces}
+        new: dict[str, str] = {}
+        # Equal pieces are one string, so that the lists of all texts hold little more than references.
+        split = [list(map(new.setdefault, pieces, pieces)) if t and (pieces := self.split(t)) else [] for t in texts]
         if len(self.encoded) > CACHE:
             self.before, self.encoded = self.encoded, {}
-        self.learn(new.difference(self.encoded))
+        self.learn(new.keys() - self.encoded.keys())
         return [b"".join(map(self.encoded.__getitem__, pieces)) for pieces in split]
 
     def decode(self, values: list[bytes | None]) -> list[bytes | None]:
@@ -205,14 +206,15 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+KIND = "bpe"
 
 
 def codec(path: str, pattern: str) -> Codec:
     """This worker's codec of a vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    codecs = kept(KIND)
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = Codec(path, pattern)
+    return codecs[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] | None = None, back: bool = False) -> DataFrame:
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
         made = {"ids": codec(path, pattern).encode(batch.column(text).to_pylist())}
         return made | ({"decoded": codec(path, pattern).decode(made["ids"])} if back else {})
 
-    return map_columns(docs, run, keep, "ids binary" + ", decoded binary" * back, limit=4 << 20)
+    return map_columns(docs, run, keep, "ids binary" + ", decoded binary" * back, limit=4 << 20, kind=KIND)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -236,4 +238,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple
     def run(batch: pa.RecordBatch) -> dict:
         return {"decoded": codec(path, pattern).decode(batch.column(ids).to_pylist())}
 
-    return map_columns(df, run, keep, "decoded binary", limit=16 << 20)
+    return map_columns(df, run, keep, "decoded binary", limit=16 << 20, kind=KIND)
