@@ -21,7 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         near = Window.partitionBy("u")
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         large = (
             both.withColumn("m", F.least("u", F.min("v").over(near)))
             .where("v > u")
@@ -29,9 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         least = large.withColumn("m", F.min("v").over(near))
-        small = least.select("u", F.col("m").alias("v")).unionByName(
-            least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
+        # For v = m the second row is a loop, which goes.
+        small = least.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         edges = staged(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -46,7 +45,7 @@ def joined(named: DataFrame, links: DataFrame) -> DataFrame:
     """named(node, component) after further links(a, b): only the graph of components is worked on."""
     at = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    ends = ends.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    ends = staged(ends.select(F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).distinct(), "ends")
     over = staged(components(ends, "of_a", "of_b"), "components").toDF("component", "top")
     every = named.unionByName(ends.select(F.explode(F.array("of_a", "of_b")).alias("node")).select("node", F.col("node").alias("component"))).distinct()
     return staged(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")

@@ -139,8 +139,7 @@ def only(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the bound on bit counts leaves."""
-    sets = only(sets.select("rep", "n", "bits"), "rep", pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    """The pairs (a, b) of staged sets(rep, n, bits) that the bound on bit counts leaves."""
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -192,24 +191,29 @@ def labelled(sets: DataFrame, rep: str, named: DataFrame) -> DataFrame:
     return sets.join(named, rep, "left").withColumn("component", F.coalesce("component", rep))
 
 
-def tiles(lists: DataFrame, alone: bool = False) -> DataFrame:
-    """Pairs of different components of lists(key, rep, n, component, bits[, hashes]).
+def tiles(lists: DataFrame, bits: DataFrame, arrays: DataFrame | None = None, alone: bool = False) -> DataFrame:
+    """Pairs of different components of staged lists(key, rep, n, component).
+
+    bits(rep, bits) and arrays(rep, hashes) join the rows when their tiles are known.
 
     A tile is a list's size band (a factor of 1.25) and the next one, in blocks of TILE
-    rows. Without ``hashes`` the pairs are those that the bound leaves; with ``alone``
-    not they, but their members, each paired with itself. With ``hashes``, each such pair
+    rows. Without ``arrays`` the pairs are those that the bound leaves; with ``alone``
+    not they, but their members, each paired with itself. With ``arrays``, each such pair
     is decided in the tile at once, and pairs whose components have met meanwhile are
     passed over, so that only links that join components come out.
     """
-    exact = "hashes" in lists.columns
+    exact = arrays is not None
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
     block = F.floor((F.row_number().over(Window.partitionBy("key", "band").orderBy("n", "rep")) - 1) / TILE).cast("int")
     rows = lists.withColumn("band", band)
     rows = rows.withColumn("block", block)
     blocks = rows.groupBy("key", "band").agg(F.max("block").alias("own"))
-    under = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("own").alias("lower"))
-    over = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("own").alias("upper"))
-    rows = rows.join(blocks, ["key", "band"]).join(under, ["key", "band"], "left").join(over, ["key", "band"], "left")
+    by_band = Window.partitionBy("key").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(by_band) == F.col("band") + step, f("own").over(by_band))
+    blocks = blocks.select("key", "band", "own", beside(F.lag, -1).alias("lower"), beside(F.lead, 1).alias("upper"))
+    rows = rows.join(blocks, ["key", "band"]).join(bits, "rep")
+    if exact:
+        rows = rows.join(arrays, "rep")
 
     def meets(last: str, at: int, left, right, step: int):
         spot = lambda k: F.struct((F.col("band") + at).alias("at"), left(k).alias("i"), right(k).alias("j"), F.lit(step).alias("step"))
@@ -306,10 +310,12 @@ def open_lists(members: DataFrame, named: DataFrame, done: list[DataFrame]) -> D
     of it need not have been neighbours, and stay open.
     """
     rows = labelled(members, "rep", named)
-    whole = [F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("component").alias("lo"), F.max("component").alias("hi")]
-    again = []
     for k, picks in enumerate(done):
         rows = rows.join(picks.select("rep", F.col("tile").alias(f"tile{k}")), "rep", "left")
+    rows = staged(rows, "list-rows")
+    whole = [F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    again = []
+    for k in range(len(done)):
         whole += [F.min(f"tile{k}").alias(f"lo{k}"), F.max(f"tile{k}").alias(f"hi{k}"), F.count(f"tile{k}").alias(f"n{k}")]
         again.append(F.coalesce((F.col(f"n{k}") == F.col("size")) & (F.col(f"lo{k}") == F.col(f"hi{k}")), F.lit(False)))
     keys = rows.groupBy("key").agg(*whole).where("lo <> hi")
@@ -335,14 +341,15 @@ def classes(docs: DataFrame) -> DataFrame:
     listed = staged(listed.where("before is not null or after is not null"), "shared-keys")
     near = listed.where((F.col("n_before") * 100 >= F.col("n") * PERCENT) & (F.col("rep") != F.col("before")))
     pairs = staged(near.select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b")).distinct(), "near-pairs")
-    links = verified(staged(bounded(pairs, sets), "pairs"), docs)
+    bits = staged(sets.select("rep", "n", "bits").distinct(), "class-bitmaps")
+    links = verified(staged(bounded(pairs, bits), "pairs"), docs)
     # The two rows of a whole list were neighbours: nothing is left to compare in it.
     members = listed.where("longer").select("key", "rep", F.col("n").cast("bigint").alias("n")).distinct()
-    bits = sets.select("rep", "bits")
+    bits = bits.select("rep", "bits")
     joined_sets = staged(components(links), "components")
     rest = open_lists(members, joined_sets, [])
     # A class whose bitmap leaves no pair to another component will never have one: components only grow.
-    some = staged(tiles(rest.join(only(bits, "rep", rest.select("rep")), "rep"), alone=True).select(F.col("a").alias("rep")), "open-classes")
+    some = staged(tiles(rest, bits, alone=True).select(F.col("a").alias("rep")), "open-classes")
     few = some.count()
     members = staged(members.join(F.broadcast(some) if few <= BROADCAST_IDS else some, "rep", "left_semi"), "open-members")
     done: list[DataFrame] = []
@@ -355,13 +362,12 @@ def classes(docs: DataFrame) -> DataFrame:
         picks = staged(picks, "own-tiles")
         done.append(picks.select("rep", F.col("key").alias("tile")))
         arrays = arrays_of(docs, picks.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-        links = staged(tiles(picks.join(only(bits, "rep", picks.select("rep")), "rep").join(arrays, "rep")), "links")
+        links = staged(tiles(picks, bits, arrays), "links")
         joined_sets = joined(joined_sets, links)
     if few:
         rest = open_lists(members, joined_sets, done)
         if not rest.isEmpty():
-            rest = rest.join(only(bits, "rep", rest.select("rep")), "rep")
-            joined_sets = joined(joined_sets, verified(staged(tiles(rest), "pairs"), docs))
+            joined_sets = joined(joined_sets, verified(staged(tiles(rest, bits), "pairs"), docs))
     named = labelled(named.withColumnRenamed("doc_id", "rep"), "rep", joined_sets).select(*equal, "component")
     return rows.join(named, equal, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
