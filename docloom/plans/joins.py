@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docloom.operators import phrases
 from docloom.plans.registry import query, sql
 from docloom.session import table
 
@@ -77,8 +78,8 @@ select doc_id, source_index, body_index from (
 """,
 )
 
-# JOIN-09: phrases by their rarest word's postings; only single hits count.
-sql(
+# JOIN-09: phrases by their rarest word's postings; only single hits count. A document's lines are compared inside its own row.
+@query(
     "join_phrase",
     """
 with words as (select distinct doc_id, line_no, word from (select doc_id, line_no, @tokens(line) as word from doc_lines) w where length(word) > 3),
@@ -94,6 +95,9 @@ from rarest r join words w on w.doc_id = r.doc_id and w.word = r.word join doc_l
 group by r.doc_id, phrase_id having count(*) = 1
 """,
 )
+def phrase(spark, sf_dir):
+    return phrases.single_hits(table(spark, sf_dir, "documents"))
+
 
 # JOIN-10: values that occur exactly once in the text. A document's lines are looked up inside its own row.
 @query(
